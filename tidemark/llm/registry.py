@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import decontaminate, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op9_decontamination": decontaminate.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_decontamination": decontaminate.SQL,
+}
