@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, substring_dedup
+from . import decontaminate, mix_sources, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_mix_sources": mix_sources.query,
     "op9_decontamination": decontaminate.query,
 }
 
