@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mix_sources, substring_dedup
+from . import decontaminate, license_scan, mix_sources, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_mix_sources": mix_sources.query,
+    "op7_license_scan": license_scan.query,
     "op9_decontamination": decontaminate.query,
 }
 
 SQL: dict[str, str] = {
+    "op7_license_scan": license_scan.SQL,
     "op9_decontamination": decontaminate.SQL,
 }
