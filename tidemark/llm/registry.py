@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, mix_sources, substring_dedup
+from . import decontaminate, license_scan, mix_sources, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_mix_sources": mix_sources.query,
+    "op3_toxicity": toxicity.query,
     "op7_license_scan": license_scan.query,
     "op9_decontamination": decontaminate.query,
 }
