@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, mix_sources, substring_dedup, toxicity
+from . import decontaminate, license_scan, mix_sources, ngram_lm, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.query,
     "op7_license_scan": license_scan.query,
     "op9_decontamination": decontaminate.query,
+    "op10_ngram_lm": ngram_lm.query,
 }
 
 SQL: dict[str, str] = {

@@ -132,3 +132,13 @@ def planes(values: np.ndarray) -> bytes:
 
 def unplanes(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, n).T).view(np.uint32).reshape(n)
+
+
+def pack_any(values: np.ndarray) -> bytes:
+    """Bytes of values below 2**64 in any order, by byte planes."""
+    v = np.ascontiguousarray(values).astype(U)
+    return v.view(np.uint8).reshape(len(v), 8).T.tobytes()
+
+
+def unpack_any(blob: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, n).T).view(np.int64).reshape(n)
