@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, mix_sources, ngram_lm, substring_dedup, toxicity
+from . import decontaminate, license_scan, mix_sources, near_dedup, ngram_lm, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_mix_sources": mix_sources.query,
     "op3_toxicity": toxicity.query,
     "op7_license_scan": license_scan.query,
+    "op8_near_dedup": near_dedup.query,
     "op9_decontamination": decontaminate.query,
     "op10_ngram_lm": ngram_lm.query,
 }
