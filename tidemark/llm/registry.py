@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert_ann, license_scan, mix_sources, near_dedup, ngram_lm, substring_dedup, toxicity
+from . import decontaminate, hilbert_ann, license_scan, mix_sources, near_dedup, ngram_lm, revisits, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_mix_sources": mix_sources.query,
     "op3_toxicity": toxicity.query,
+    "op5_warc_revisits": revisits.query,
     "op6_hilbert_ann": hilbert_ann.query,
     "op7_license_scan": license_scan.query,
     "op8_near_dedup": near_dedup.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op5_warc_revisits": revisits.SQL,
     "op7_license_scan": license_scan.SQL,
     "op9_decontamination": decontaminate.SQL,
 }
