@@ -133,17 +133,21 @@ def _agree(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(1).astype("int32"))
 
 
-def _similarity(size: int):
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for i in range(0, len(a), 64):
-            sides = [cells(pa.array(s.iloc[i : i + 64], pa.large_string()), size)[:2] for s in (a, b)]
-            for k in range(len(a.iloc[i : i + 64])):
-                x, y = (u[f[k] : f[k + 1]] for u, f in sides)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(both / max(len(x) + len(y) - both, 1))
-        return pd.Series(out, dtype="float64")
+def _similar(size: int, threshold: float):
+    """Pairs (u, v, text, text) that are similar enough, a few at a time: a batch of texts is as large as Arrow makes it."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                sides = [cells(part.column(c), size)[:2] for c in (2, 3)]
+                out = []
+                for k in range(part.num_rows):
+                    x, y = (u[f[k] : f[k + 1]] for u, f in sides)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    out.append(both / max(len(x) + len(y) - both, 1))
+                found = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.float64())], names=["u", "v", "similarity"])
+                yield found.filter(pa.array([x >= threshold for x in out]))
 
     return run
 
@@ -222,8 +226,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -
     needed = texts.where("id is not null").join(_small(shared.written(ids, "ids")), "id", "left_semi")
     needed = shared.written(needed, "texts")
     side = lambda c: needed.select(F.col("id").alias(c), F.col("t").alias(f"t_{c}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
-    return both.select("u", "v", _similarity(size)("t_u", "t_v").alias("similarity")).where(F.col("similarity") >= threshold)
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "t_u", "t_v")
+    return both.mapInArrow(_similar(size, threshold), "u long, v long, similarity double")
 
 
 def _rest(members: DataFrame, reps: DataFrame, classes: DataFrame, least: int) -> DataFrame:
