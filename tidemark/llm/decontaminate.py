@@ -48,23 +48,24 @@ def prefixed(windows: DataFrame, docs: DataFrame) -> DataFrame:
     return places.join(counts, "word", "left").groupBy("__item", "win", "n").agg(rarest).select("__item", "win", "n", F.col("r.word").alias("word"), F.col("r.off").alias("off"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rows: bool = False) -> DataFrame:
     """For each row of docs: n_words, n_hit, items (sorted as strings) and contaminated.
 
     A word is hit inside any occurrence of a window of a benchmark item; a
     document is contaminated if it has a hit word and at least 1/share of its
-    words are hit. Returns id_col, the columns of `extra` and the four results.
+    words are hit. Returns id_col (with rows: `row`, a struct of all columns of
+    docs) and the four results.
     Defined results: null or empty texts have no words; items without words or
     with a null id have no windows; rows that repeat, ids included, stay rows
     of their own; an empty benchmark hits nothing; empty docs give no rows.
     """
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct(F.lit(0).alias("__none"), *[F.col(c) for c in extra]).alias("__extra"))
+    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), (F.struct(*docs.columns) if rows else F.lit(None).cast("struct<x:int>")).alias("__row"))
     items = benchmark.select(F.col(item_col).alias("__item"), F.col(item_text_col).alias("__text"))
     windows = item_windows(items, size).persist()
     n_windows = windows.count()
     passes = max(1, -(-n_windows // MAX_WINDOWS))
-    words = base.select(F.monotonically_increasing_id().alias("rid"), "__id", "__extra", words_of(F.col("__text")).alias("w"))
-    places = words.select("rid", "__id", "__extra", "w", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "word"))
+    words = base.select(F.monotonically_increasing_id().alias("rid"), "__id", "__row", words_of(F.col("__text")).alias("w"))
+    places = words.select("rid", "__id", "__row", "w", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "word"))
     parts = []
     for k in range(passes):
         share_of = windows if passes == 1 else windows.where(F.pmod(F.xxhash64("win"), F.lit(passes)) == k)
@@ -74,13 +75,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
         joined = places.join(F.broadcast(keyed), holds, "left" if k == 0 else "inner")
         if k == 0:
             joined = joined.where(F.col("item").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0))
-        parts.append(joined.select("rid", "__id", "__extra", "n_words", F.when(F.col("item").isNotNull(), F.struct(begin.alias("begin"), "n")).alias("hit"), "item"))
-    rows = parts[0]
+        first = F.col("pos").isNull() | (F.col("pos") == 0)
+        parts.append(joined.select("rid", "__id", F.when(first, F.col("__row")).alias("__row"), "n_words", F.when(F.col("item").isNotNull(), F.struct(begin.alias("begin"), "n")).alias("hit"), "item"))
+    found = parts[0]
     for p in parts[1:]:
-        rows = rows.unionByName(p)
-    by_doc = rows.groupBy("rid").agg(F.first("__id").alias("__id"), F.first("__extra").alias("__extra"), F.first("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("item").alias("found"))
+        found = found.unionByName(p)
+    by_doc = found.groupBy("rid").agg(F.first("__id").alias("__id"), F.first("__row", ignorenulls=True).alias("__row"), F.first("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("item").alias("found"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["begin"], h["begin"] + h["n"] - 1))))
-    out = by_doc.select(F.col("__id").alias(id_col), *[F.col(f"__extra.{c}").alias(c) for c in extra], F.col("n_words").cast("long"), F.size(covered).cast("long").alias("n_hit"), F.sort_array(F.transform("found", lambda i: i.cast(T.StringType()))).alias("items"))
+    out = by_doc.select(F.col("__row").alias("row") if rows else F.col("__id").alias(id_col), F.col("n_words").cast("long"), F.size(covered).cast("long").alias("n_hit"), F.sort_array(F.transform("found", lambda i: i.cast(T.StringType()))).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 

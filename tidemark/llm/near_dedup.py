@@ -242,6 +242,18 @@ def _rest(members: DataFrame, reps: DataFrame, classes: DataFrame, least: int) -
     return dealt.join(reps, "node").groupBy("key", "i", "j").applyInArrow(_block_pairs(least), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def keep_one(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are the first of their class, one for each id; rows without an id stay."""
+    classes = shared.written(near_duplicates(docs, threshold, size, id_col, text_col).select(F.col(id_col).alias("__id"), "class_id").where("__id is not null"), "classes")
+    later = classes.where("__id <> class_id").select("__id").distinct()
+    out = docs.join(_small(later), docs[id_col] == F.col("__id"), "left_anti")
+    twice = classes.where("__id = class_id").groupBy("__id").count().where("count > 1").select("__id")
+    if twice.limit(1).count():
+        once = out.join(_small(twice), out[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
+        out = out.join(_small(twice), out[id_col] == F.col("__id"), "left_anti").unionByName(once)
+    return out
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: the near-duplicate class of every document of `documents`."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
