@@ -336,3 +336,5 @@ def events_first_and_next(spark, d):
 
 for _name, (_run, _sql, _date) in storage_queries.ALL.items():
     query(_name, _sql, _date)(_run)
+
+SQL["silver_incremental_equals_full"] = f"{_SILVER} SELECT session_state, count(*) AS n_sessions, {_n('sum(duration_ms)')} AS sum_duration, {_n('sum(epoch_us(start_time) % 1000003)')} AS sum_start, {_n('sum(is_complete)')} AS n_complete FROM s GROUP BY session_state"
