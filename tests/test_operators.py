@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import country_daily, episode_daily, sessions, title_daily, user_daily
 from tidemark.sources import schemas
 
-AS_OF = F.timestamp_seconds(F.lit(1762000000))
+def as_of():
+    return F.timestamp_seconds(F.lit(1762000000))
+
 
 
 def event(**kw):
@@ -55,7 +57,7 @@ def test_latest_event_wins_and_null_ids_are_one(spark):
 @pytest.mark.parametrize("kind,ratio,ago,state", [("complete", 0.94, 0, "IN_PROGRESS"), ("complete", 0.945, 0, "COMPLETE"), ("complete", 0.95, 0, "COMPLETE"), ("exit", 0.95, 0, "IN_PROGRESS"), ("exit", 0.5, 0, "EXIT"), ("exit", None, 601, "TIMEOUT_EXIT"), ("enter", 0.0, 600, "IN_PROGRESS"), ("enter", 0.0, 601, "TIMEOUT_EXIT"), ("complete", 0.5, 601, "TIMEOUT_EXIT")])
 def test_states(spark, kind, ratio, ago, state):
     at = dt.datetime.fromtimestamp(1762000000 - ago, dt.timezone.utc).isoformat()
-    got = sessions.build_sessions(events(spark, event(event_type=kind, scroll_ratio=ratio, utimestamptz=at)), AS_OF).first()
+    got = sessions.build_sessions(events(spark, event(event_type=kind, scroll_ratio=ratio, utimestamptz=at)), as_of()).first()
     assert (got["session_state"], got["is_complete"], got["is_exit"]) == (state, int(state == "COMPLETE"), int(state in ("EXIT", "TIMEOUT_EXIT")))
 
 
@@ -66,17 +68,17 @@ def test_required_and_unknown(spark):
 
 def test_sessions_split_at_midnight_and_by_device(spark):
     e = events(spark, event(), event(event_id="e2", utimestamptz="2025-11-02T00:01:00+00:00"), event(event_id="e3", device="pc"))
-    assert sessions.build_sessions(e, AS_OF).count() == 3
+    assert sessions.build_sessions(e, as_of()).count() == 3
 
 
 def test_fold_of_any_split_equals_all_at_once(spark):
     e = events(spark, *[event(event_id=f"e{i}", event_type=k, scroll_ratio=r, dwell_time_ms=i, utimestamptz=f"2025-11-01T10:0{i}:00+00:00") for i, (k, r) in enumerate([("enter", 0.0), ("scroll", 0.4), ("scroll", 0.97), ("complete", 1.0)])])
-    whole = [r.asDict() for r in sessions.build_sessions(e, AS_OF).collect()]
+    whole = [r.asDict() for r in sessions.build_sessions(e, as_of()).collect()]
     for cut in range(1, 4):
-        parts = [sessions.build_sessions(e.where(c), AS_OF) for c in (F.substring("event_id", 2, 1).cast("int") < cut, F.substring("event_id", 2, 1).cast("int") >= cut)]
-        folded = sessions.fold_sessions(*parts, AS_OF)
+        parts = [sessions.build_sessions(e.where(c), as_of()) for c in (F.substring("event_id", 2, 1).cast("int") < cut, F.substring("event_id", 2, 1).cast("int") >= cut)]
+        folded = sessions.fold_sessions(*parts, as_of())
         assert [r.asDict() for r in folded.collect()] == whole
-        assert [r.asDict() for r in sessions.fold_sessions(folded, parts[1], AS_OF).collect()] == whole
+        assert [r.asDict() for r in sessions.fold_sessions(folded, parts[1], as_of()).collect()] == whole
 
 
 def test_user_features(spark):

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
-from test_operators import AS_OF, event, events, session, silver
+from test_operators import as_of, event, events, session, silver
 
 from tidemark.plans import runner
 from tidemark.sources import schemas, simulate, store
@@ -54,12 +54,12 @@ def test_upsert_modes(spark, tmp_path):
     e = events(spark, *[event(event_id=f"e{i}", utimestamptz=f"2025-11-01T10:0{i}:00+00:00", scroll_ratio=0.1 * i, event_type=k) for i, k in enumerate(["enter", "scroll", "exit"])])
     from tidemark.operators import sessions
 
-    first, second = (sessions.build_sessions(e.where(c), AS_OF) for c in ("event_id = 'e0'", "event_id <> 'e0'"))
+    first, second = (sessions.build_sessions(e.where(c), as_of()) for c in ("event_id = 'e0'", "event_id <> 'e0'"))
     folded, replaced = table(spark, tmp_path, "f"), table(spark, tmp_path, "r")
     for t, mode in ((folded, "fold"), (replaced, "replace")):
-        t.upsert_sessions(first, mode, AS_OF)
-        t.upsert_sessions(second, mode, AS_OF)
-        t.upsert_sessions(second, mode, AS_OF)
+        t.upsert_sessions(first, mode, as_of())
+        t.upsert_sessions(second, mode, as_of())
+        t.upsert_sessions(second, mode, as_of())
     assert folded.read().first()["seen_enter"] is True and folded.read().count() == 1
     assert replaced.read().first()["seen_enter"] is False and replaced.read().count() == 1
 
@@ -100,7 +100,7 @@ def test_simulated_stream_to_daily_tables(spark, tmp_path):
     for _ in range(2):
         ingest(lines_from_files(spark, f"{root}/in"), house.events, f"{root}/checkpoint", once=True).awaitTermination()
     assert house.events.read().count() == made.count()
-    assert house.update_sessions(as_of=AS_OF) == "full" and house.update_sessions(as_of=AS_OF) == "none"
+    assert house.update_sessions(as_of=as_of()) == "full" and house.update_sessions(as_of=as_of()) == "none"
     date = "2024-01-01"
     house.update_gold(date, wait_seconds=0)
     house.update_gold(date, wait_seconds=0)
