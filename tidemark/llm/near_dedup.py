@@ -12,10 +12,11 @@ weighted Jaccard similarity.
 Texts that are equal in words are one node. Bands of ROWS coordinates join the
 nodes: each member of a band's bucket is paired with the bucket's smallest
 node, never with all. Pairs whose signatures agree too seldom fall out, the
-others are compared exactly. What a bucket still holds of several classes is
-compared signature by signature, in blocks of bounded size, and pairs from
-different classes that may be similar are compared exactly too. Classes are
-the connected components of the pairs that are similar enough.
+others are compared exactly. Where a bucket then still holds several classes,
+blocks of its members of bounded size are compared with each other, by
+signature and then exactly, and give at most one pair for each member: those
+that join classes. Classes are the connected components of the pairs that are
+similar enough.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ BANDS, ROWS = 24, 4
 K = BANDS * ROWS
 #: Signatures that agree in fewer coordinates than the threshold less this many standard errors are not compared exactly.
 ERRORS = 4.5
-BLOCK = 2000
+#: Rows of a bucket that one task compares with as many others.
+BLOCK = 1000
 #: Rows of a table of pairs or ids that may be broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -152,20 +154,43 @@ def _similar(size: int, threshold: float):
     return run
 
 
-def _block_pairs(least: int):
-    """Within a block (or between two): pairs from different classes whose signatures agree often enough."""
+def _block_links(size: int, threshold: float, least: int):
+    """Of a block (or two): pairs of texts that are similar enough and join what nothing before joins, at most one for each text.
+
+    Rows that may be similar to most come first, so that a text which many
+    others are copies of joins them all and the rest needs no comparison.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp, part = (table.column(c).to_numpy() for c in ("node", "comp", "part"))
+        node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
+        label = table.column("comp").to_numpy().copy()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), K)
-        one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        rows, cols = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        agree = np.zeros((len(rows), len(cols)), np.int16)
+        for k in range(K):
+            agree += sig[rows, k][:, None] == sig[cols, k][None, :]
+        may = (agree >= least) & (label[rows][:, None] != label[cols][None, :])
         us, vs = [], []
-        for r in range(len(node)):
-            other = np.flatnonzero((comp != comp[r]) & (node > node[r]) if one else (comp != comp[r]) & (part > part[r]))
-            if len(other):
-                hit = other[(sig[other] == sig[r]).sum(1) >= least]
-                us += [int(node[r])] * len(hit)
-                vs += node[hit].tolist()
+        if may.any():
+            units, firsts, _ = cells(table.column("t"), size)
+            weight = np.diff(firsts)
+            may &= (weight[rows] > 0)[:, None] & (weight[cols] > 0)[None, :]
+            for r in np.argsort(-may.sum(1), kind="stable"):
+                own = rows[r]
+                other = cols[np.flatnonzero(may[r])]
+                other = other[label[other] != label[own]]
+                if not len(other):
+                    continue
+                mine = np.sort(units[firsts[own] : firsts[own + 1]])
+                theirs = np.concatenate([units[firsts[c] : firsts[c + 1]] for c in other])
+                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                both = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.cumsum(weight[other]) - weight[other])
+                for c in other[both >= threshold * (len(mine) + weight[other] - both) - 1e-9]:
+                    if label[c] != label[own]:
+                        us.append(int(node[own]))
+                        vs.append(int(node[c]))
+                        label[label == label[c]] = label[own]
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
@@ -208,8 +233,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_c
     ties = live.join(groups, ["k1", "k2"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).join(live.groupBy("id").count().where("count > 1").select(F.col("id").alias("v")), "v", "left_semi").select("u", "v")
     known = known.select("u", "v").unionByName(ties)
     classes = shared.written(components(known), "classes")
-    extra = _rest(members, reps, classes, least)
-    extra = shared.written(_verified(extra, texts, threshold, size), "pairs")
+    extra = shared.written(_rest(members, reps, classes, texts, size, threshold, least), "pairs")
     if extra.limit(1).count():
         classes = shared.written(components(known.unionByName(extra.select("u", "v"))), "classes")
     by_group = groups.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"), "n_copies")
@@ -230,16 +254,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -
     return both.mapInArrow(_similar(size, threshold), "u long, v long, similarity double")
 
 
-def _rest(members: DataFrame, reps: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Pairs of different classes in a bucket that the star has not compared and that may be similar."""
+def _rest(members: DataFrame, reps: DataFrame, classes: DataFrame, texts: DataFrame, size: int, threshold: float, least: int) -> DataFrame:
+    """Pairs (u, v) that are similar enough and join classes that meet in a bucket; the star has compared its centre alone."""
     comp = classes.select("node", F.col("component").alias("comp"))
     tagged = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).where("node > center")
     several = tagged.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a < b")
     blocks = several.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = tagged.join(blocks, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = shared.written(rows.select("key", "blocks", "part", "node", "comp"), "rest")
+    ids = rows.select(F.col("node").alias("id")).distinct()
+    needed = texts.where("id is not null").join(_small(shared.written(ids, "ids")), "id", "left_semi").select(F.col("id").alias("node"), "t").join(reps, "node")
     dealt = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("part", "k").cast("int").alias("i"), F.greatest("part", "k").cast("int").alias("j"), "part", "node", "comp")
-    return dealt.join(reps, "node").groupBy("key", "i", "j").applyInArrow(_block_pairs(least), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return dealt.join(shared.written(needed, "texts"), "node").groupBy("key", "i", "j").applyInArrow(_block_links(size, threshold, least), "u long, v long").distinct()
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
