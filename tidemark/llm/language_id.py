@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from . import words as W
 
 BUCKETS = 1 << 16
@@ -125,6 +126,7 @@ def identify(df: DataFrame, model: Model, text: Column, declared: Column | None
     row without any letters in its text is "und"; a model of no languages
     accepts nothing; an empty table gives an empty result.
     """
+    shared.small_batches(df.sparkSession)
     made = ("language", "confidence", "text_language", "accepted")
     kept = [c for c in df.columns if c not in made]
     names = [*model.languages, UND]
@@ -134,7 +136,7 @@ def identify(df: DataFrame, model: Model, text: Column, declared: Column | None
     keys = {k: F.lower(v.cast("string")) if v is not None else none for k, v in keys.items()}
     rows = df.select(*kept, *[v.alias(k) for k, v in keys.items()], F.rlike(F.coalesce(text, F.lit("")), F.lit(r"\p{L}")).alias("__letters"), likelihoods(text, model).alias("__ll"))
     rows = rows.withColumn("__text", F.array_position("__ll", F.array_max("__ll")).cast("int") - 1)
-    seen = rows.select("__declared", "__host", "__domain", "__suffix", "__text")
+    seen = shared.written(rows.select("__declared", "__host", "__domain", "__suffix", "__text"), "evidence")  # counted several times
     everything = seen.agg(F.array(*[F.count_if(F.col("__text") == k) for k in range(n)])).first()[0] or [0] * n
     total = sum(everything) or 1
     overall = [(c + SMOOTH_ALL / n) / (total + SMOOTH_ALL) for c in everything]

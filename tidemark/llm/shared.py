@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -23,6 +24,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+#: Rows and bytes of an Arrow batch of texts: what a Python worker and its executor hold of its input at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches; texts are long, and the default of 10 000 rows is some 30 MB a copy."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.sub(r"\D", "", spark.conf.get(key, "") or "")
+        if not now or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """The URI of a folder of our own below checkpoint_root."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
