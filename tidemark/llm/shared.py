@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 
@@ -30,10 +29,10 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches; texts are long, and the default of 10 000 rows is some 30 MB a copy."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = re.sub(r"\D", "", spark.conf.get(key, "") or "")
-        if not now or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
