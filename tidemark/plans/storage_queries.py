@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import sessions
 from ..sources import schemas, simulate, store, testbed
+from ..sources.cluster import checkpoint_root
 from ..streaming.ingest import ingest, lines_from_files
 from . import runner
 
@@ -26,9 +27,8 @@ def query(name: str, sql: str | None = None, date: str | None = None):
 
 
 def _root(spark) -> str:
-    """A folder for the tables of one run: shared, if the cluster names such a folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/tables-{next(tempfile._get_candidate_names())}" if shared else "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    """A new folder for the tables of one run."""
+    return f"{checkpoint_root(spark)}/tables-{uuid.uuid4().hex}"
 
 
 def _log(spark):
