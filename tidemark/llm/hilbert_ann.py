@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shared
+
 CURVES, DIMS, BITS = 24, 4, 8
 #: Rows of the sample that quantiles and slabs are taken from.
 SAMPLE = 20_000
@@ -167,6 +169,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     equal ones; fewer other rows than k give as many.
     """
     spark = vectors.sparkSession
+    shared.prepare(spark)
 
     def clean(df):
         v = F.col(vector_col)

@@ -31,6 +31,8 @@ UND = "und"
 TEMPER = 0.2
 #: Weights, in rows, of the next level's distribution where counts are smoothed.
 SMOOTH_HOST, SMOOTH_DOMAIN, SMOOTH_ALL, SMOOTH_DECLARED = 5.0, 5.0, 10.0, 2.0
+#: Part of any text that is in no language: names, codes, quotations. It keeps a short text with some of them from being "und".
+FOREIGN = 0.1
 #: Labelled rows per language that a model is fitted on, about, and bytes of each.
 PER_LANGUAGE, MAX_BYTES = 1500, 20_000
 #: Hosts whose counts may be broadcast; more are joined by a shuffle.
@@ -72,7 +74,7 @@ def fit(sample: list[tuple[str, str]]) -> Model:
         own = [t.encode()[:MAX_BYTES].decode(errors="ignore") for t, x in sample if x == k]
         for a in range(0, len(own), 256):
             counts += np.bincount(_grams(pa.array(own[a : a + 256], pa.large_string()))[0], minlength=BUCKETS)
-        table[i] = np.log(counts / counts.sum())
+        table[i] = np.log((1 - FOREIGN) * counts / counts.sum() + FOREIGN / BUCKETS)
     return Model(languages, table)
 
 
@@ -126,7 +128,7 @@ def identify(df: DataFrame, model: Model, text: Column, declared: Column | None
     row without any letters in its text is "und"; a model of no languages
     accepts nothing; an empty table gives an empty result.
     """
-    shared.small_batches(df.sparkSession)
+    shared.prepare(df.sparkSession)
     made = ("language", "confidence", "text_language", "accepted")
     kept = [c for c in df.columns if c not in made]
     names = [*model.languages, UND]

@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_c
     same id are one document, whose texts' classes are one; an empty table
     gives an empty result. Ids are integers.
     """
-    shared.small_batches(docs.sparkSession)
+    shared.prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     signed = shared.written(texts.mapInArrow(_sign(size), "id long, k1 long, k2 long, sig binary"), "signatures")
     live = signed.where("id is not null and sig is not null")

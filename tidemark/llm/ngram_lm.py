@@ -215,7 +215,7 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 def train(texts: DataFrame, text_col: str = "text") -> Model:
     """Count every row of texts (null: empty) into shards in the shared folder."""
     spark = texts.sparkSession
-    shared.small_batches(spark)
+    shared.prepare(spark)
     texts = texts.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     total = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shares = max(1, math.ceil(total / 8 / SHARE_PAIRS), min(32, math.ceil(total / 1e6)))
@@ -320,7 +320,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     model of no texts gives every text the score 0; columns named like a result
     are replaced; an empty table gives an empty result.
     """
-    shared.small_batches(docs.sparkSession)
+    shared.prepare(docs.sparkSession)
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     rest = [c for c in docs.columns if c not in made and c != text_col]
     docs = docs.select(*rest, F.col(text_col).cast("string").alias("__text"))

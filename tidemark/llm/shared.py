@@ -10,25 +10,16 @@ import numpy as np
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset, a temporary one, in local mode only."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+from ..sources.cluster import checkpoint_root, ship_package
 
 
 #: Rows and bytes of an Arrow batch of texts: what a Python worker and its executor hold of its input at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches; texts are long, and the default of 10 000 rows is some 30 MB a copy."""
+def prepare(spark: SparkSession) -> None:
+    """Before Python runs in tasks: send the package, and bound Arrow batches (texts are long; 10 000 rows are some 30 MB a copy)."""
+    ship_package(spark)
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if not 0 < rows <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -196,7 +196,7 @@ def dedup_substrings(docs: DataFrame, size: int = 13, id_col: str = "doc_id", te
     gives an empty result. Ids are integers.
     """
     made = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_text": T.StringType(), "factors": FACTORS}
-    shared.small_batches(docs.sparkSession)
+    shared.prepare(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in made]).withColumn(id_col, F.col(id_col).cast("long"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shares = max(1, math.ceil(total / 6 / SHARE_WINDOWS), min(64, math.ceil(total / 6 / 100_000)))

@@ -177,7 +177,7 @@ def score(text: Column, model: Model) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_ordinary: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most max_toxic and max_ordinary labelled rows. Null labels, ids and texts take no part; a label row that repeats counts once."""
-    shared.small_batches(docs.sparkSession)
+    shared.prepare(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)").distinct()
     picked = None
     for y, n in ((1, max_toxic), (0, max_ordinary)):

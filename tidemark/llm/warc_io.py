@@ -57,6 +57,7 @@ def parse(stream):
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Captures of all files below path, ready for revisits.resolve; capture_id is unique within a run."""
+    shared.prepare(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length"))
     files = files.repartition(max(1, files.count())).select(F.monotonically_increasing_id().alias("n"), "path")
 
