@@ -6,7 +6,7 @@ from fractions import Fraction
 import corpus_pipeline
 import numpy as np
 import pytest
-from conftest import EDGES, words
+from samples import EDGES, words
 from pyspark.sql import functions as F
 
 from tidemark.llm import hilbert_ann, language_id, mix_sources, registry, revisits, toxicity

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import EDGES, words  # noqa: F401
+from samples import EDGES, words
 from pyspark.sql import functions as F
 
 import oracle
