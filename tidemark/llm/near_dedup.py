@@ -115,6 +115,7 @@ def signatures(units: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 def _sign(size: int):
     def run(batches):
         for b in batches:
+            W.release()
             texts = b.column(1).cast(pa.large_string())
             _, offsets = W.buffers(texts)
             for i, j in W.batches(None, offsets):

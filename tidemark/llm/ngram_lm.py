@@ -106,6 +106,7 @@ def _sum_by(order: np.ndarray, new: np.ndarray, values: np.ndarray) -> np.ndarra
 
 def _count(shares: int):
     def emit(texts):
+        W.release()
         u, w, _ = tokens(pa.chunked_array(texts))
         share = _share(_pair(u, w), shares)
         order = np.lexsort((w, u, share))
@@ -137,6 +138,7 @@ def _pairs_shard(folder: str, shares: int):
     """Write a shard of pairs; pass on what its words begin and end."""
 
     def run(table: pa.Table) -> pa.Table:
+        W.release()
         share = table.column("share")[0].as_py()
         us, ws, cs = [], [], []
         for n, blob in zip(table.column("n").to_pylist(), table.column("blob"), strict=True):

@@ -77,6 +77,7 @@ def _distinct(one: np.ndarray, two: np.ndarray, shares: int):
 
 def _emit(id_col, text_col, size, shares):
     def run(table: pa.Table) -> pa.Table:
+        W.release()
         block = table.column(_BLOCK)[0].as_py()
         out = {_SHARE: [], _BLOCK: [], _N: [], _BLOB: []}
         if block >= 0:
@@ -96,6 +97,7 @@ def _emit(id_col, text_col, size, shares):
 
 def _answer(table: pa.Table) -> pa.Table:
     """For each block, which of its windows in this share an earlier block holds, and the earliest such."""
+    W.release()
     table = table.sort_by(_BLOCK)
     blocks, sizes = table.column(_BLOCK).to_numpy(), table.column(_N).to_numpy()
     hashes = np.concatenate([W.unpack(b.as_buffer(), int(n)) for b, n in zip(table.column(_BLOB), sizes, strict=True)])
@@ -122,6 +124,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def _parse(id_col, text_col, size, shares, schema):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        W.release()
         block = table.column(_BLOCK)[0].as_py() if table.num_rows else -1
         texts = table.column(text_col)
         data, starts, ends, firsts, begin, one, two = _windows(texts, size)

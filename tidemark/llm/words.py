@@ -6,6 +6,8 @@ no Python object is made per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -113,6 +115,13 @@ def batches(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20):
         i = min(j, n)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that has done a large group keeps none of it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Bytes of ascending unsigned values: differences, one byte plane after another, so that what compresses lies together."""
     v = np.asarray(values, U)
