@@ -4,7 +4,10 @@ A text is cut into sentences twice: at line ends and sentence ends, and at
 sentence ends and blank lines alone, for notices that are wrapped over lines.
 A sentence, in lower case with every run of other characters than a-z and 0-9
 as one space, is looked up among the known licence sentences; what remains of
-a text is one sequence of identifiers for each way of cutting. A rule is an
+a text is one sequence of identifiers for each way of cutting. Lines that hold
+nothing but comment marks are blank; the full stop of "v. 2.0" ends nothing;
+an address that a notice sets on a line of its own belongs to the sentence
+before it; and the first item of a list begins a sentence. A rule is an
 ordered sequence of identifiers that must stand in one of the two without
 another known sentence in between. Texts that hold none of the words of which
 every known sentence has one are not cut.
@@ -60,9 +63,13 @@ _RULES = {
     "mpl-2-header": ("MPL-2.0", ["mpl-2-grant"]),
     "unlicense-text": ("Unlicense", ["unlicense-grant"]),
 }
+# Known to the scan alone; the numbers of the others stay as they are.
+_MORE_SENTENCES = {"unlicense-dedication": "This is free and unencumbered software released into the public domain."}
+_MORE_RULES = {"unlicense-dedication": ("Unlicense", ["unlicense-dedication"])}
 _TAGS = ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Unlicense", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later")
 #: Every known sentence holds one of these.
-ANCHORS = ("licens", "permission", "redistribut", "copyright", "warrant")
+ANCHORS = ("licens", "permission", "redistribut", "copyright", "warrant", "unencumbered")
+_MARKS = r"[ \t#*/;%'!<>|-]"
 
 
 def _plain(sentence: str) -> str:
@@ -93,10 +100,22 @@ def known() -> tuple[dict[str, int], list[tuple[str, str, list[int]]]]:
     return by_text, [(r, licence, [number[k] for k in ids]) for r, (licence, ids) in rules.items()]
 
 
+def _known_to_scan() -> tuple[dict[str, int], list[tuple[str, str, list[int]]]]:
+    by_text, rules = known()
+    number = {k: len(by_text) + i + 1 for i, k in enumerate(_MORE_SENTENCES)}
+    more = {_plain(s): number[k] for k, s in _MORE_SENTENCES.items()}
+    assert not more.keys() & by_text.keys() and all(any(a in s for a in ANCHORS) for s in more)
+    return by_text | more, rules + [(r, licence, [number[k] for k in ids]) for r, (licence, ids) in _MORE_RULES.items()]
+
+
 def _cut(text: Column, wrapped: bool) -> Column:
     """Normalised sentences; lines end sentences unless wrapped."""
-    text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "([.!?])[ \t\n\f]+", "$1\n\n")
-    parts = F.split(text, "\n[ \t]*\n[ \t\n]*" if wrapped else "\n+")
+    text = F.regexp_replace(text, "\r\n?", "\n")
+    text = F.regexp_replace(text, r"\bv\.[^a-z0-9]+(?=[0-9])", "v ")
+    text = F.regexp_replace(text, r"(license[^a-z0-9]+at)[^a-z0-9]+(https?://www\.apache\.org/licenses/license-2\.0)(?:\.txt|\.html)?(?![a-z0-9])", "$1 $2\n\n")
+    text = F.regexp_replace(text, rf":[ \t]*\n{_MARKS}*(?=[0-9]{{1,2}}[.)][ \t])", ":\n\n")
+    text = F.regexp_replace(text, "([.!?])[ \t\n\f]+", "$1\n\n")
+    parts = F.split(text, rf"\n{_MARKS}*\n(?:{_MARKS}|\n)*" if wrapped else "\n+")
     return F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
 
@@ -108,7 +127,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     columns of docs are not returned.
     """
     spark = docs.sparkSession
-    by_text, rules = known()
+    by_text, rules = _known_to_scan()
     table = spark.createDataFrame(list(by_text.items()), "s string, number int")
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("__id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     may = F.lit(False)
