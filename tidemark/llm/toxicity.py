@@ -1,10 +1,10 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are made from labelled texts. Both hold the same
-ordinary text, picked by the dictionary trainer; the toxic one also holds the
-pieces of words that are reliably more frequent in toxic than in ordinary
-texts, where the other holds unused bytes, so that the two differ in nothing
-else. A window of a text is compressed with each dictionary; the bytes that
+ordinary text, picked by the dictionary trainer from words that hold no such
+piece; the toxic one also holds, at its cheap end, the beginnings of words that
+are reliably more frequent in toxic than in ordinary texts, where the other
+holds unused bytes, so that the two differ in nothing else. A window of a text is compressed with each dictionary; the bytes that
 the toxic one saves are the window's distance. A text's distances (mean,
 largest, share and number over thresholds) give its score by a logistic
 calibration fitted on labelled texts that neither dictionary has seen; 0.5 is
@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,8 @@ from . import shared
 
 WINDOW = 64  # bytes
 GRAM = 5  # bytes
+LONGEST = 24  # bytes of a piece, with the spaces around it
+REPEATS = 4
 BASE_BYTES, TOXIC_BYTES = 8_000, 8_000
 MAX_BYTES = 200_000
 _OVER = (1, 2, 4)
@@ -46,6 +48,8 @@ class Model:
     scale: list[float]
     weights: list[float]
     prior: float
+    low: list[float] = field(default_factory=list)  # the features' range in calibration: a longer text counts as the longest there
+    high: list[float] = field(default_factory=list)
 
 
 def _compressor(content: bytes) -> zstd.ZstdCompressor:
@@ -75,42 +79,49 @@ def _features(plain: bytes, toxic, ordinary) -> list[float]:
     return [d.mean(), top[0], top[:3].mean(), *[(d >= k).mean() for k in _OVER], *[np.log1p((d >= k).sum()) for k in _OVER], np.log1p(len(d))]
 
 
-def _grams(plain: bytes) -> np.ndarray:
-    """Distinct byte sequences of GRAM that lie in one word and the spaces around it."""
-    b = np.frombuffer(b" " + plain + b" ", np.uint8)
-    n = len(b) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    code, inner = np.zeros(n, np.uint64), np.zeros(n, bool)
-    for k in range(GRAM):
-        code = code * np.uint64(256) + b[k : k + n]
-        if 0 < k < GRAM - 1:
-            inner |= b[k : k + n] == 32
-    return np.unique(code[~inner])
-
-
-def _frequent(own: list[bytes], other: list[bytes], z: float = 2.5, least: float = 3.0) -> list[bytes]:
-    """Pieces of words, most frequent last, whose sequences all are at least `least` times as frequent in own texts, by z standard errors."""
-    count = lambda texts: np.unique(np.concatenate([_grams(t) for t in texts] or [np.zeros(0, np.uint64)]), return_counts=True)
-    (g, n), (og, on) = count(own), count(other)
-    if not len(g):
-        return []
-    at = np.minimum(np.searchsorted(og, g), max(len(og) - 1, 0))
-    m = np.where(og[at] == g, on[at], 0) if len(og) else np.zeros(len(g))
-    low = np.log((n + 0.5) / (len(own) + 1)) - np.log((m + 0.5) / (len(other) + 1)) - z * np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
-    good = {int(x).to_bytes(GRAM, "big") for x in g[low > np.log(least)]}
-    pieces: Counter = Counter()
-    for text in own:
-        for word in set(text.split()):
-            b, i = b" " + word + b" ", 0
-            while i <= len(b) - GRAM:
-                j = i
-                while j <= len(b) - GRAM and b[j : j + GRAM] in good:
-                    j += 1
-                if j > i:
-                    pieces[b[i : j + GRAM - 1]] += 1
-                i = j + 1
-    return [p for p, _ in sorted(pieces.items(), key=lambda x: (x[1], x[0]))]
+def _pieces(own: list[bytes], other: list[bytes], z: float = 3.0, least: float = 4.0) -> list[bytes]:
+    """Beginnings of words, surest last, that are at least `least` times as frequent in own texts, by z standard errors.
+
+    A text counts a beginning up to REPEATS times. Of beginnings that share
+    most of their places the longest stays; a longer one that is less sure than
+    a shorter one that stays goes.
+    """
+    low = lambda n, m: np.log((n + 0.5) / (len(own) + 1)) - np.log((m + 0.5) / (len(other) + 1)) - z * np.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
+    split: list[list] = [list(own), list(other)]  # texts, then the words that may still go on
+    at: list[Counter] = [Counter(), Counter()]
+    for size in range(GRAM, LONGEST + 1):
+        found: list[Counter] = []
+        for side in (0, 1):
+            total: Counter = Counter()
+            for k, words in enumerate(split[side]):
+                words = Counter(b" " + w + b" " for w in words.split()) if size == GRAM else words
+                known = found[0] if side else at[0] if size > GRAM else None
+                split[side][k] = words = {w: n for w, n in words.items() if len(w) >= size and (known is None or w[: size if side else size - 1] in known)}
+                mine: Counter = Counter()
+                for w, n in words.items():
+                    mine[w[:size]] += n
+                total.update({p: min(n, REPEATS) for p, n in mine.items()})
+            # too rare in own texts, were it in no other: so are all that go on from it
+            found.append(Counter({p: n for p, n in total.items() if side or low(n, 0) > np.log(least)}))
+        if not found[0]:
+            break
+        at[0].update(found[0])
+        at[1].update(found[1])
+    good = {p: x for p, n in at[0].items() if (x := low(n, at[1][p])) > np.log(least)}
+    begins = lambda p: [p[:k] for k in range(GRAM, len(p)) if p[:k] in good]
+    short = {q for p in good for q in begins(p) if at[0][p] >= 0.8 * at[0][q]}
+    kept = [p for p in good if p not in short and not any(q not in short and good[q] >= good[p] for q in begins(p))]
+    return sorted(kept, key=lambda p: (good[p], p))
+
+
+def _without(pieces: list[bytes], texts: list[bytes]) -> list[bytes]:
+    """The texts without the words that hold a piece."""
+    bare = {p.strip() for p in pieces}
+    sizes = {len(p) for p in bare}
+    clean: dict[bytes, bool] = {}
+    for w in {w for t in texts for w in t.split()}:
+        clean[w] = not any(w[i : i + n] in bare for n in sizes for i in range(len(w) - n + 1))
+    return [b" ".join(w for w in t.split() if clean[w]) for t in texts]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -133,19 +144,22 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     held = {t: k for t, k in texts.items() if t not in train}
     prior = (sum(texts.values()) + 0.5) / (len(texts) + 1)
     own, other = [t for t, k in train.items() if k], [t for t, k in train.items() if not k]
-    pieces = b"".join(_frequent(own, other))[-TOXIC_BYTES:]
-    samples = [w for t in other[:2000] for w in (t[i : i + 200] for i in range(0, len(t), 200))]
+    surest = _pieces(own, other)
+    pieces = b"".join(surest)[-TOXIC_BYTES:]
+    samples = [w for t in _without(surest, other[:2000]) for w in (t[i : i + 200] for i in range(0, len(t), 200))]
     try:
         base = zstd.train_dictionary(2 * BASE_BYTES, samples[:40_000], k=32, d=6).as_bytes()[-BASE_BYTES:]
     except zstd.ZstdError:  # too little text to train on
         base = b" ".join(samples)[-BASE_BYTES:]
-    model = Model(pieces + base, bytes([1]) * len(pieces) + base, [], [], [], prior)
+    # zstd finds no match that begins in the last bytes of a dictionary
+    model = Model(base + pieces + bytes([1]) * 16, base + bytes([1]) * (len(pieces) + 16), [], [], [], prior)
     if not pieces or not base or len(set(held.values())) < 2:
         return model
     made = _compressor(model.toxic), _compressor(model.ordinary)
     x, y = np.array([_features(t, *made) for t in held]), np.array(list(held.values()), float)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     model.mean, model.scale = mean.tolist(), scale.tolist()
+    model.low, model.high = x.min(0).tolist(), x.max(0).tolist()
     model.weights = _logistic((x - mean) / scale, y).tolist()
     return model
 
@@ -161,6 +175,7 @@ def score_texts(texts, model: Model) -> np.ndarray:
     if not model.weights:
         return np.full(len(texts), model.prior)
     x = np.array([_features(_plain(t), *_made[key]) for t in texts]).reshape(len(texts), -1)
+    x = np.clip(x, model.low, model.high) if len(x) else x.reshape(0, len(model.mean))
     z = model.weights[0] + ((x - model.mean) / model.scale) @ np.array(model.weights[1:])
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
