@@ -30,3 +30,46 @@ def test_a_smaller_language_is_learnt():
         of = [bool(f) for f, (_, y, s) in zip(found, rows) if y and s == small]
         assert sum(of) >= 0.7 * len(of)
     assert sum(f and not y for f, (_, y, _) in zip(found, rows)) <= 0.05 * len(rows)
+
+
+def test_both_dictionaries_are_trained_on_their_class():
+    rows = two_languages(1500, 1)
+    model = toxicity.fit([(t, y) for t, y, _ in rows])
+    assert model.toxic.startswith(model.ordinary.rstrip(b"\1")) and len(model.toxic) == len(model.ordinary)
+    added = model.toxic[len(model.ordinary.rstrip(b"\1")) :]
+    assert all(w in added for w in (b"scumbag", b"idiotic", b"wretched", "vébra".encode()))
+    assert not any(w in model.ordinary for w in (b" scumbag", b" idiotic", b" wretched"))
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes_and_holds_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda sample: seen.append(sample) or toxicity.Model(b"", b"", [], [], [], 0.5))
+    rows = [(i, f"{'word ' * 50}{i} end") for i in range(60)] + [(None, "x"), (3, None), (7, "again " * 40)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)] + [(5, 1)], "doc_id long, toxic int")
+    toxicity.learn(docs, labels, max_toxic=10, max_ordinary=20)
+    toxicity.learn(docs, labels, max_bytes=600)
+    toxicity.learn(docs, labels, max_bytes=1)
+    whole = {t for _, t in rows}
+    assert all(t in whole for s in seen for t, _ in s)
+    assert [sum(y == k for _, y in seen[0]) for k in (1, 0)] == [10, 20]
+    assert all(sum(len(t) for t, y in seen[1] if y == k) <= 600 for k in (0, 1)) and len(seen[1]) == 4
+    assert sorted(y for _, y in seen[2]) == [0, 1]
+
+
+def test_the_query_by_language(spark):
+    """Held-out precision and recall on sf0.1; every language's toxic texts are found."""
+    import os
+
+    from tidemark.llm import registry
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.exists(sf):
+        return
+    found = registry.QUERIES["op3_toxicity"](spark, sf).where("held_out")
+    truth = spark.read.parquet(f"{sf}/labels.parquet").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = truth.join(found, "doc_id").select("lang", "toxic", "predicted").where("toxic is not null").collect()
+    caught = [r for r in rows if r["predicted"]]
+    assert sum(r["toxic"] for r in caught) >= 0.9 * len(caught)
+    for lang in {r["lang"] for r in rows}:
+        mine = [r["predicted"] for r in rows if r["lang"] == lang and r["toxic"]]
+        assert not mine or sum(mine) >= 0.6 * len(mine), lang

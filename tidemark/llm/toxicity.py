@@ -1,17 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled texts. Both hold the same
-ordinary text, picked by the dictionary trainer from words that hold no such
-piece; the toxic one also holds, at its cheap end, the beginnings of words that
-are reliably more frequent in toxic than in ordinary texts, where the other
-holds unused bytes, so that the two differ in nothing else. A window of a text is compressed with each dictionary; the bytes that
-the toxic one saves are the window's distance. A text's distances (mean,
-largest, share and number over thresholds) give its score by a logistic
-calibration fitted on labelled texts that neither dictionary has seen; 0.5 is
-the threshold.
-
-The labelled sample is bounded (`max_toxic` and `max_ordinary` rows by a hash
-of their ids, MAX_BYTES of each text); scoring covers all windows of all texts.
+Two zstandard dictionaries are trained, each by zstd's own trainer on the text
+of its class. The toxic class's text is what its texts have of their own: the
+words that begin as words of ordinary texts reliably seldom do. The ordinary
+class's text is that of ordinary texts without words that hold such a beginning. A window of a text
+is compressed once with the ordinary dictionary and once with the toxic one
+laid over it, so that the two differ in what toxic texts add and in nothing
+else; the bytes that the second saves are the window's distance. A text's
+distances (mean, largest, share and number over thresholds) give its score by
+a logistic calibration fitted on labelled texts that neither dictionary has
+seen; 0.5 is the threshold.
+
+The labelled sample is bounded in rows and bytes and drawn by a hash of the
+ids; its texts are whole. Scoring covers all windows of all texts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -33,14 +34,16 @@ WINDOW = 64  # bytes
 GRAM = 5  # bytes
 LONGEST = 24  # bytes of a piece, with the spaces around it
 REPEATS = 4
-BASE_BYTES, TOXIC_BYTES = 8_000, 8_000
-MAX_BYTES = 200_000
+#: Bytes of the ordinary dictionary, and of the toxic one at most; a toxic one has a quarter of its training text at most.
+BASE_BYTES, TOXIC_BYTES = 110_000, 8_000
+#: What the trainer takes and counts at once: segments and sequences of bytes.
+SEGMENT, SEQUENCE = LONGEST, 6
 _OVER = (1, 2, 4)
 
 
 @dataclass
 class Model:
-    """Dictionary contents and the calibration; some 20 KB whatever the corpus."""
+    """Dictionary contents and the calibration; some 230 KB whatever the corpus."""
 
     toxic: bytes
     ordinary: bytes
@@ -53,8 +56,8 @@ class Model:
 
 
 def _compressor(content: bytes) -> zstd.ZstdCompressor:
-    # small tables: what is compressed has 64 bytes; matches of five bytes and more, as GRAM
-    p = zstd.ZstdCompressionParameters(format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False, window_log=15, chain_log=12, hash_log=13, search_log=4, min_match=GRAM, target_length=8, strategy=zstd.STRATEGY_BTLAZY2)
+    # small windows, so small tables; matches of a trainer's sequence and more
+    p = zstd.ZstdCompressionParameters(format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False, window_log=18, chain_log=17, hash_log=17, search_log=5, min_match=SEQUENCE, target_length=16, strategy=zstd.STRATEGY_BTLAZY2)
     return zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=p)
 
 
@@ -114,14 +117,30 @@ def _pieces(own: list[bytes], other: list[bytes], z: float = 3.0, least: float =
     return sorted(kept, key=lambda p: (good[p], p))
 
 
-def _without(pieces: list[bytes], texts: list[bytes]) -> list[bytes]:
-    """The texts without the words that hold a piece."""
-    bare = {p.strip() for p in pieces}
+def _sides(pieces: list[bytes], own: list[bytes], other: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Samples of 200 bytes: of own texts the words that begin with a piece, of the others the words that hold none anywhere; in an order of hashes."""
+    begins, bare = tuple(pieces), {p.strip() for p in pieces}
     sizes = {len(p) for p in bare}
+    begun: dict[bytes, bool] = {}
     clean: dict[bytes, bool] = {}
-    for w in {w for t in texts for w in t.split()}:
-        clean[w] = not any(w[i : i + n] in bare for n in sizes for i in range(len(w) - n + 1))
-    return [b" ".join(w for w in t.split() if clean[w]) for t in texts]
+    for texts, known, test in (
+        (own, begun, lambda w: (b" " + w + b" ").startswith(begins)),
+        (other, clean, lambda w: not any(w[i : i + n] in bare for n in sizes for i in range(len(w) - n + 1))),
+    ):
+        known.update({w: test(w) for w in {w for t in texts for w in t.split()}})
+    out = []
+    for texts, known in ((own, begun), (other, clean)):
+        lines = [b" " + b" ".join(w for w in t.split() if known[w]) + b" " for t in texts]
+        out.append(sorted((s[i : i + 200] for s in lines if len(s) > 2 for i in range(0, len(s), 200)), key=zlib.crc32))
+    return out[0], out[1]
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """The trainer's dictionary; the samples themselves if they are too few to train on."""
+    try:
+        return zstd.train_dictionary(size, samples, k=SEGMENT, d=SEQUENCE).as_bytes()
+    except (zstd.ZstdError, ValueError):
+        return b"".join(samples)[:size]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -139,21 +158,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def fit(sample: list[tuple[str, int]]) -> Model:
     """From (text, 1 if toxic). Texts that repeat count once; which train and which calibrate is a hash of the text."""
-    texts = {_plain(t[:MAX_BYTES]): int(k) for t, k in sorted(sample)}
+    texts = {_plain(t): int(k) for t, k in sorted(sample)}
     train = {t: k for t, k in texts.items() if zlib.crc32(t) % 10 < 7}
     held = {t: k for t, k in texts.items() if t not in train}
     prior = (sum(texts.values()) + 0.5) / (len(texts) + 1)
     own, other = [t for t, k in train.items() if k], [t for t, k in train.items() if not k]
-    surest = _pieces(own, other)
-    pieces = b"".join(surest)[-TOXIC_BYTES:]
-    samples = [w for t in _without(surest, other[:2000]) for w in (t[i : i + 200] for i in range(0, len(t), 200))]
-    try:
-        base = zstd.train_dictionary(2 * BASE_BYTES, samples[:40_000], k=32, d=6).as_bytes()[-BASE_BYTES:]
-    except zstd.ZstdError:  # too little text to train on
-        base = b" ".join(samples)[-BASE_BYTES:]
+    toxic_side, ordinary_side = _sides(_pieces(own, other), own, other)
+    over = _trained(toxic_side, max(1000, min(TOXIC_BYTES, sum(map(len, toxic_side)) // 4))) if toxic_side else b""
+    base = _trained(ordinary_side, BASE_BYTES) if ordinary_side else b""
     # zstd finds no match that begins in the last bytes of a dictionary
-    model = Model(base + pieces + bytes([1]) * 16, base + bytes([1]) * (len(pieces) + 16), [], [], [], prior)
-    if not pieces or not base or len(set(held.values())) < 2:
+    model = Model(base + over + bytes([1]) * 16, base + bytes([1]) * (len(over) + 16), [], [], [], prior)
+    if not over or not base or len(set(held.values())) < 2:
         return model
     made = _compressor(model.toxic), _compressor(model.ordinary)
     x, y = np.array([_features(t, *made) for t in held]), np.array(list(held.values()), float)
@@ -190,17 +205,26 @@ def score(text: Column, model: Model) -> Column:
     return run(text)
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_ordinary: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most max_toxic and max_ordinary labelled rows. Null labels, ids and texts take no part; a label row that repeats counts once."""
+def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_ordinary: int = 6000, max_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit on a sample of labelled rows with their whole texts.
+
+    Of each class the sample is the first max_toxic or max_ordinary rows in the
+    order of a hash of their ids, and no more of them than have max_bytes
+    together (the first one always counts). Null labels, ids and texts take no
+    part; a label row that repeats counts once, an id with several texts with each.
+    """
     shared.prepare(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)").distinct()
-    picked = None
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).where("__id is not null and __t is not null")
+    sizes = texts.select("__id", F.octet_length("__t").alias("__n"))
+    picks = None
     for y, n in ((1, max_toxic), (0, max_ordinary)):
-        some = known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n)
-        picked = some if picked is None else picked.unionByName(some)
-    texts = docs.select(F.col(id_col).alias("__id"), F.substring(F.col(text_col), 1, MAX_BYTES).alias("__t")).where("__t is not null")
-    rows = texts.join(F.broadcast(picked), "__id").select("__t", "__y").limit(2 * (max_toxic + max_ordinary))
-    return fit([(r["__t"], r["__y"]) for r in rows.toLocalIterator()])
+        some = known.where(F.col("__y") == y).join(sizes, "__id").orderBy(F.xxhash64("__id"), "__id", "__n").limit(n)
+        before = F.sum("__n").over(Window.orderBy(F.xxhash64("__id"), "__id", "__n").rowsBetween(Window.unboundedPreceding, -1))  # n rows at most
+        picked = some.select("__id", F.coalesce(before, F.lit(0)).alias("__b"), "__n").where((F.col("__b") == 0) | (F.col("__b") + F.col("__n") <= max_bytes)).select("__id", F.lit(y).alias("__y")).distinct()
+        picks = picked if picks is None else picks.unionByName(picked)
+    rows = texts.join(F.broadcast(picks), "__id").select("__t", "__y").collect()  # 2 * max_bytes
+    return fit([(r["__t"], r["__y"]) for r in rows])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
