@@ -211,19 +211,20 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = 4000, max_ordinar
     Of each class the sample is the first max_toxic or max_ordinary rows in the
     order of a hash of their ids, and no more of them than have max_bytes
     together (the first one always counts). Null labels, ids and texts take no
-    part; a label row that repeats counts once, an id with several texts with each.
+    part; rows that repeat count once, an id with several texts with each.
     """
     shared.prepare(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)").distinct()
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).where("__id is not null and __t is not null")
-    sizes = texts.select("__id", F.octet_length("__t").alias("__n"))
+    texts = texts.withColumn("__k", F.xxhash64("__t"))
+    sizes = texts.select("__id", "__k", F.octet_length("__t").alias("__n")).distinct()
     picks = None
     for y, n in ((1, max_toxic), (0, max_ordinary)):
-        some = known.where(F.col("__y") == y).join(sizes, "__id").orderBy(F.xxhash64("__id"), "__id", "__n").limit(n)
-        before = F.sum("__n").over(Window.orderBy(F.xxhash64("__id"), "__id", "__n").rowsBetween(Window.unboundedPreceding, -1))  # n rows at most
-        picked = some.select("__id", F.coalesce(before, F.lit(0)).alias("__b"), "__n").where((F.col("__b") == 0) | (F.col("__b") + F.col("__n") <= max_bytes)).select("__id", F.lit(y).alias("__y")).distinct()
+        some = known.where(F.col("__y") == y).join(sizes, "__id").orderBy(F.xxhash64("__id"), "__id", "__k").limit(n)
+        before = F.sum("__n").over(Window.orderBy(F.xxhash64("__id"), "__id", "__k").rowsBetween(Window.unboundedPreceding, -1))  # n rows at most
+        picked = some.select("__id", "__k", F.coalesce(before, F.lit(0)).alias("__b"), "__n").where((F.col("__b") == 0) | (F.col("__b") + F.col("__n") <= max_bytes)).select("__id", "__k", F.lit(y).alias("__y"))
         picks = picked if picks is None else picks.unionByName(picked)
-    rows = texts.join(F.broadcast(picks), "__id").select("__t", "__y").collect()  # 2 * max_bytes
+    rows = texts.join(F.broadcast(picks), ["__id", "__k"]).dropDuplicates(["__id", "__k"]).select("__t", "__y").collect()  # 2 * max_bytes
     return fit([(r["__t"], r["__y"]) for r in rows])
 
 
