@@ -12,9 +12,10 @@ their exact products; the windows of all curves are merged by query.
 
 Equal vectors are one node with its k + 1 smallest ids (no more can be among
 anyone's k nearest), and equal queries are searched once, so a vector that
-repeats makes no large group. The window is a share of all rows: in some 60
-dimensions without structure, neighbours are found with a recall of 0.9 only
-if the windows together hold about as many rows as the table.
+repeats makes no large group. The window is the same share of the rows at
+every size: in some 60 dimensions without structure, neighbours are found with
+a recall of 0.9 only if the windows together hold about as many rows as the
+table. (Of a table of fewer than (k + 1) / SHARE rows a window is k + 1 rows.) A slab with many queries is worked on in parts.
 """
 
 from __future__ import annotations
@@ -23,17 +24,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
+from . import words as W
 
-CURVES, DIMS, BITS = 24, 4, 8
+CURVES, DIMS, BITS = 32, 8, 4
 #: Rows of the sample that quantiles and slabs are taken from.
 SAMPLE = 20_000
-#: A window: this share of the rows, or so many.
-SHARE, LEAST = 0.07, 500
-SLABS, SLAB_ROWS = 64, 20_000
+#: A window is this share of the rows, in slabs; a slab has one SLABS-th of the rows, or SLAB_ROWS of a larger table.
+SHARE, SLABS, SLAB_ROWS = 0.05, 60, 20_000
+#: Queries that a task compares with a slab, about.
+QUERY_ROWS = 20_000
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -104,8 +108,9 @@ def _matrix(column, width: int) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _deal(curves: Curves, width: int, reach: int):
-    names = ["curve", "slab", "is_query", "node", "vector", "ids"]
+def _deal(curves: Curves, width: int, reach: int, parts: int):
+    """Rows by curve, slab and part: a vector goes to every part of its slab, a query to one part of each slab of its window."""
+    names = ["curve", "slab", "part", "is_query", "node", "vector", "ids"]
 
     def run(batches):
         for b in batches:
@@ -113,18 +118,19 @@ def _deal(curves: Curves, width: int, reach: int):
                 continue
             x, node = _matrix(b.column(1), width), b.column(0).to_numpy()
             asked = np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False))
-            tie = node.astype(np.int64) & 0x7FFFFFFF
+            tie = W.mix(pc.list_element(b.column(2), 0).to_numpy().astype(np.uint64)).astype(np.int64) & 0x7FFFFFFF
             lifted, aimed = curves.lift(x), curves.aim(x[asked])
             for c in range(CURVES):
                 own = curves.slab(c, lifted, tie)
                 at = curves.slab(c, aimed, tie[asked])
                 low = np.clip(at - reach, 0, max(curves.slabs - 1 - 2 * reach, 0))
                 count = np.minimum(low + 2 * reach, curves.slabs - 1) - low + 1
-                rows = np.concatenate([np.arange(len(x)), np.repeat(asked, count)])
-                slab = np.concatenate([own, np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)])
-                is_query = np.arange(len(rows)) >= len(x)
+                rows = np.concatenate([np.repeat(np.arange(len(x)), parts), np.repeat(asked, count)])
+                slab = np.concatenate([np.repeat(own, parts), np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)])
+                part = np.concatenate([np.tile(np.arange(parts), len(x)), (np.repeat(tie[asked], count) >> 7) % parts])
+                is_query = np.arange(len(rows)) >= len(x) * parts
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), c, np.int32)), pa.array(slab.astype(np.int32)), pa.array(is_query), pa.array(node[rows]), b.column(1).take(take), b.column(2).take(take)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), c, np.int32)), pa.array(slab.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(is_query), pa.array(node[rows]), b.column(1).take(take), b.column(2).take(take)], names=names)
 
     return run
 
@@ -182,20 +188,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     if not most:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width, n, largest = most[0]["s"], most[0]["n"], math.sqrt(most[0]["m"])
-    keyed = rows.where(F.size("vector") == width).withColumn("node", F.xxhash64("vector"))
-    asked = clean(queries).where(F.size("vector") == width).select(F.col("id").alias("query_id"), F.xxhash64("vector").alias("node")).distinct()
-    first = F.dense_rank().over(Window.partitionBy("node").orderBy("id"))
-    few = keyed.withColumn("r", first).where(F.col("r") <= k + 1)
-    nodes = few.groupBy("node").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_set("id")).alias("ids"))
-    nodes = nodes.join(asked.select("node").distinct().withColumn("asked", F.lit(True)), "node", "left").select("node", "vector", "ids", F.coalesce("asked", F.lit(False)).alias("asked"))
-    sample = keyed.select("node", "vector").distinct().orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector")
-    sample = np.array([r["vector"] for r in sample.toLocalIterator()], np.float64)
+    keyed = rows.where(F.size("vector") == width)
+    asked = clean(queries).where(F.size("vector") == width).withColumnRenamed("id", "query_id").distinct()
+    first = F.dense_rank().over(Window.partitionBy("vector").orderBy("id"))
+    nodes = keyed.withColumn("r", first).where(F.col("r") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    wanted = asked.select("vector").distinct().withColumn("asked", F.lit(True))
+    nodes = shared.written(nodes.join(wanted, "vector", "left").select(F.monotonically_increasing_id().alias("node"), "vector", "ids", F.coalesce("asked", F.lit(False)).alias("asked")), "vectors")  # so numbered once
+    asked = asked.join(nodes.where("asked").select("node", "vector"), "vector").select("query_id", "node")
+    sample = nodes.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0], "vector").limit(SAMPLE).select("vector")
+    sample = np.array([r["vector"] for r in sample.collect()], np.float64)
     slabs = max(SLABS, math.ceil(n / SLAB_ROWS))
-    reach = math.ceil((max(SHARE, min(1, LEAST / n)) * slabs - 1) / 2)
+    reach = math.ceil((max(SHARE, (k + 1) / n) * slabs - 1) / 2)  # a window holds k others
+    n_asked = nodes.where("asked").count()
+    parts = max(1, math.ceil(n_asked * (2 * reach + 1) / slabs / QUERY_ROWS))
     curves = Curves(sample, largest, slabs)
     kind = dict(nodes.dtypes)["vector"]
-    dealt = nodes.mapInArrow(_deal(curves, width, reach), f"curve int, slab int, is_query boolean, node long, vector {kind}, ids array<long>")
-    found = dealt.groupBy("curve", "slab").applyInArrow(_search(width, k), "node long, ids array<long>, scores array<double>")
+    dealt = nodes.select("node", "vector", "ids", "asked").mapInArrow(_deal(curves, width, reach, parts), f"curve int, slab int, part int, is_query boolean, node long, vector {kind}, ids array<long>")
+    found = dealt.groupBy("curve", "slab", "part").applyInArrow(_search(width, k), "node long, ids array<long>, scores array<double>")
     pairs = F.arrays_zip("scores", "ids")
     best = found.select("node", F.explode(pairs).alias("p")).groupBy("node", F.col("p.ids").alias("vec_id")).agg(F.max("p.scores").alias("score"))
     ranked = asked.join(best, "node").where("vec_id <> query_id")
