@@ -1,8 +1,9 @@
 """Language identification by Bayesian fusion of evidence.
 
 The text gives a likelihood for each language: naive Bayes over hashed
-sequences of four bytes, learnt from a bounded sample of labelled texts; no
-language ("und") has the uniform distribution. What the text alone says of
+sequences of four bytes, counted in tasks over a bounded sample of labelled
+texts of every language; no language ("und") has the uniform distribution. The
+table of probabilities is a file in the shared folder that workers map. What the text alone says of
 all rows is then counted by host, by domain, by address suffix and by
 declared language. The host's counts, smoothed towards its domain's and these
 towards all rows', are the prior (without the row itself); the counts of
@@ -33,8 +34,8 @@ TEMPER = 0.2
 SMOOTH_HOST, SMOOTH_DOMAIN, SMOOTH_ALL, SMOOTH_DECLARED = 5.0, 5.0, 10.0, 2.0
 #: Part of any text that is in no language: names, codes, quotations. It keeps a short text with some of them from being "und".
 FOREIGN = 0.1
-#: Labelled rows per language that a model is fitted on, about, and bytes of each.
-PER_LANGUAGE, MAX_BYTES = 1500, 20_000
+#: Labelled rows per language that a model is fitted on, about; their texts are whole.
+PER_LANGUAGE = 1500
 #: Hosts whose counts may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _LETTER = np.array([W.LOWER[b] if W.LOWER[b] >= 0x61 and W.LOWER[b] <= 0x7A or b >= 0x80 else 32 for b in range(256)], np.uint8)
@@ -43,7 +44,12 @@ _LETTER = np.array([W.LOWER[b] if W.LOWER[b] >= 0x61 and W.LOWER[b] <= 0x7A or b
 @dataclass
 class Model:
     languages: list[str]  # sorted, without "und"
-    table: np.ndarray  # log probability by language and bucket, float32
+    table: np.ndarray | str  # log probability by language and bucket, float32; or the URI of such a file
+
+    def rows(self) -> np.ndarray:
+        """The table, with "und" as its last row."""
+        table = self.table if isinstance(self.table, np.ndarray) else shared.mapped(self.table, "table", np.float32).reshape(-1, BUCKETS)
+        return table if len(table) > len(self.languages) else np.vstack([table, np.full((1, BUCKETS), -math.log(BUCKETS), np.float32)])
 
 
 def _grams(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -65,39 +71,85 @@ def _grams(texts) -> tuple[np.ndarray, np.ndarray]:
     return ((code[at] * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64), text
 
 
+def _log_share(counts: np.ndarray) -> np.ndarray:
+    counts = counts + 0.1
+    return np.log((1 - FOREIGN) * counts / counts.sum() + FOREIGN / BUCKETS).astype(np.float32)
+
+
 def fit(sample: list[tuple[str, str]]) -> Model:
     """From (text, language); the order of the sample doesn't matter."""
     languages = sorted({k for _, k in sample})
     table = np.zeros((len(languages), BUCKETS), np.float32)
     for i, k in enumerate(languages):
-        counts = np.full(BUCKETS, 0.1)
-        own = [t.encode()[:MAX_BYTES].decode(errors="ignore") for t, x in sample if x == k]
-        for a in range(0, len(own), 256):
-            counts += np.bincount(_grams(pa.array(own[a : a + 256], pa.large_string()))[0], minlength=BUCKETS)
-        table[i] = np.log((1 - FOREIGN) * counts / counts.sum() + FOREIGN / BUCKETS)
+        table[i] = _log_share(sum((_bucket_counts([t]) for t, x in sample if x == k), np.zeros(BUCKETS)))
     return Model(languages, table)
 
 
+def _bucket_counts(texts) -> np.ndarray:
+    texts, out = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), np.zeros(BUCKETS)
+    _, offsets = W.buffers(texts)
+    for i, j in W.batches(None, offsets):
+        out += np.bincount(_grams(texts.slice(i, j - i))[0], minlength=BUCKETS)
+    return out
+
+
+def _count(batches):
+    """Of each batch and language: the buckets that occur, with their counts."""
+    for b in batches:
+        kinds = b.column(1).to_pylist()
+        for k in sorted(set(kinds)):
+            counts = _bucket_counts(b.column(0).filter(pa.array([x == k for x in kinds])))
+            at = np.flatnonzero(counts).astype(np.uint16)
+            yield pa.RecordBatch.from_pydict({"k": [k], "at": [at.tobytes()], "n": [counts[at].astype(np.int64).tobytes()]}, schema=pa.schema([("k", pa.string()), ("at", pa.binary()), ("n", pa.binary())]))
+
+
+def _add(table: pa.Table) -> pa.Table:
+    counts = np.zeros(BUCKETS)
+    for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist(), strict=True):
+        counts[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+    return pa.table({"k": [table.column("k")[0].as_py()], "row": [_log_share(counts).tobytes()]}, schema=pa.schema([("k", pa.string()), ("row", pa.binary())]))
+
+
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on about per_language rows of each language in lang_col, chosen by a hash of the id."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(lang_col) != UND))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(200).collect()}
-    if not counts:
-        return Model([], np.zeros((0, BUCKETS), np.float32))
-    share = F.lit(0.0)
-    for k, n in counts.items():
-        share = F.when(F.col(lang_col) == k, F.lit(per_language / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    rows = known.where(draw < share).select(F.substring(F.col(text_col), 1, MAX_BYTES).alias("t"), F.col(lang_col).alias("k")).limit(2 * per_language * len(counts))
-    return fit([(r["t"], r["k"]) for r in rows.toLocalIterator()])
+    """Fit every language of lang_col, each on about per_language whole texts chosen by a hash of the id and the text.
+
+    Null languages and texts and "und" take no part; an empty table gives a
+    model of no languages. The driver holds one row of 256 KB at a time.
+    """
+    spark = docs.sparkSession
+    shared.prepare(spark)
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.col(lang_col) != UND)).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("k"))
+    share = known.groupBy("k").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
+    draw = F.pmod(F.xxhash64("i", "t", F.lit("language")), F.lit(1 << 40)) / float(1 << 40)
+    rows = known.join(F.broadcast(share), "k").where(draw < F.col("share")).select("t", "k")  # a row for each language
+    counted = rows.mapInArrow(_count, "k string, at binary, n binary").groupBy("k").applyInArrow(_add, "k string, row binary")
+    uri, languages = f"{shared.new_folder(spark, 'languages')}/model", []
+
+    def table():
+        for r in counted.orderBy("k").toLocalIterator():
+            languages.append(r["k"])
+            yield np.frombuffer(r["row"], np.float32)
+        yield np.full(BUCKETS, -math.log(BUCKETS), np.float32)
+
+    shared.save_rows(uri, "table", table())
+    return Model(languages, uri)
+
+
+_tables: dict[str, np.ndarray] = {}
 
 
 def likelihoods(text: Column, model: Model) -> Column:
     """Tempered log-likelihoods of a text by language, "und" last; null and empty texts have zeros."""
-    table = np.vstack([model.table, np.full((1, BUCKETS), -math.log(BUCKETS), np.float32)])
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
+        if isinstance(model.table, str):
+            if model.table not in _tables:
+                _tables.clear()
+                _tables[model.table] = model.rows()
+            table = _tables[model.table]
+        else:
+            table = model.rows()
         texts = pa.array(s.where(s.notna(), None), pa.large_string())
         out = np.zeros((len(s), len(table)))
         _, offsets = W.buffers(texts)
@@ -119,26 +171,28 @@ def _beside(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(table) if small else table, key, "left")
 
 
-def identify(df: DataFrame, model: Model, text: Column, declared: Column | None = None, host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, least: float = 0.5) -> DataFrame:
-    """df and language, confidence, text_language and accepted; columns of these names are replaced.
+def identify(df: DataFrame, model: Model, text: Column, declared: Column | None = None, host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, least: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """df (of its columns those of keep, if given) and language, confidence, text_language and accepted; columns of these names are replaced.
 
     declared, host, domain and suffix are columns of text or None; a null is no
     evidence, and a declared language that the model doesn't know is counted
     like any other. Defined results: without text the other evidence decides; a
     row without any letters in its text is "und"; a model of no languages
-    accepts nothing; an empty table gives an empty result.
+    accepts nothing; rows that repeat stay; an empty table gives an empty
+    result. The rows and what their texts say are written once, for they are
+    read several times.
     """
     shared.prepare(df.sparkSession)
     made = ("language", "confidence", "text_language", "accepted")
-    kept = [c for c in df.columns if c not in made]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in made]
     names = [*model.languages, UND]
     n = len(names)
     none = F.lit(None).cast("string")
     keys = {"__declared": declared, "__host": host, "__domain": domain, "__suffix": suffix}
     keys = {k: F.lower(v.cast("string")) if v is not None else none for k, v in keys.items()}
     rows = df.select(*kept, *[v.alias(k) for k, v in keys.items()], F.rlike(F.coalesce(text, F.lit("")), F.lit(r"\p{L}")).alias("__letters"), likelihoods(text, model).alias("__ll"))
-    rows = rows.withColumn("__text", F.array_position("__ll", F.array_max("__ll")).cast("int") - 1)
-    seen = shared.written(rows.select("__declared", "__host", "__domain", "__suffix", "__text"), "evidence")  # counted several times
+    rows = shared.written(rows.withColumn("__text", F.array_position("__ll", F.array_max("__ll")).cast("int") - 1), "evidence")
+    seen = rows.select(*keys, "__text")
     everything = seen.agg(F.array(*[F.count_if(F.col("__text") == k) for k in range(n)])).first()[0] or [0] * n
     total = sum(everything) or 1
     overall = [(c + SMOOTH_ALL / n) / (total + SMOOTH_ALL) for c in everything]
@@ -181,9 +235,9 @@ def identify(df: DataFrame, model: Model, text: Column, declared: Column | None
 
 
 def page_text(html: Column) -> Column:
-    """What a page shows: without comments, scripts, styles and tags."""
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
-    return F.regexp_replace(bare, r"(?s)<[^>]*>|&[#a-zA-Z0-9]+;", " ")
+    """What a page shows: without comments, scripts, styles and tags; one that is not closed goes on to the end, so that no place is tried twice."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)", " ")
+    return F.regexp_replace(bare, r"(?s)<[^<>]*>|&[#a-zA-Z0-9]{1,32};", " ")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -191,7 +245,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     model = learn(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
-    parts = pages.select("page_id", F.nullif(F.nullif(F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]+)", 1)), F.lit("")), F.lit("x")).alias("declared"), F.nullif(host, F.lit("")).alias("host"), page_text(F.col("html")).alias("text"))
+    declared = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-zA-Z]+)", 1)
+    parts = pages.select("page_id", F.nullif(F.nullif(F.lower(declared), F.lit("")), F.lit("x")).alias("declared"), F.nullif(host, F.lit("")).alias("host"), page_text(F.col("html")).alias("text"))
     parts = parts.withColumn("suffix", F.nullif(F.regexp_extract("host", r"([^.]+)$", 1), F.lit(""))).withColumn("domain", F.nullif(F.regexp_extract("host", r"([^.]+[.][^.]+)$", 1), F.lit("")))
-    out = identify(parts, model, F.col("text"), F.col("declared"), F.col("host"), F.col("domain"), F.col("suffix"))
+    out = identify(parts, model, F.col("text"), F.col("declared"), F.col("host"), F.col("domain"), F.col("suffix"), keep=["page_id", "declared", "host"])
     return out.select("page_id", "declared", "host", "text_language", "language", F.round("confidence", 6).alias("confidence"), "accepted")

@@ -57,6 +57,17 @@ def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
         system.move(part, f"{path}.{name}")
 
 
+def save_rows(uri: str, name: str, rows) -> None:
+    """As save, one array after another into one file: only one is held at a time."""
+    system, path = _open(uri)
+    system.create_dir(os.path.dirname(path), recursive=True)
+    part = f"{path}.{name}.{uuid.uuid4().hex}.part"
+    with system.open_output_stream(part) as out:
+        for values in rows:
+            out.write(np.ascontiguousarray(values).tobytes())
+    system.move(part, f"{path}.{name}")
+
+
 def mapped(uri: str, name: str, kind) -> np.ndarray:
     """An array of save(), memory-mapped; one that is not on a file system of this machine is copied first, to a file without a name."""
     system, path = _open(f"{uri}.{name}")
