@@ -13,53 +13,70 @@ from tidemark.llm import hilbert_ann, language_id, mix_sources, registry, revisi
 from tidemark.llm.components import components
 
 
+def flows(blocks, weights, until):
+    """What the ideal mix has given each source by each slot, step by step in fractions."""
+    left, out = {s: Fraction(n) for s, n in blocks.items()}, [dict.fromkeys(blocks, Fraction(0))]
+    for _ in range(until):
+        time, got = Fraction(1), dict(out[-1])
+        while time and any(left.values()):
+            live = sum(Fraction(weights[s]) for s in left if left[s])
+            step = min([time] + [left[s] * live / Fraction(weights[s]) for s in left if left[s]])
+            for s in left:
+                if left[s]:
+                    part = step * Fraction(weights[s]) / live
+                    got[s] += part
+                    left[s] -= part
+            time -= step
+        out.append(got)
+    return out
+
+
+def one_by_one(blocks, weights):
+    """The source of each slot, by releases and deadlines read off the ideal mix."""
+    total = sum(blocks.values())
+    flow = flows(blocks, weights, total)
+    count, out = dict.fromkeys(blocks, 0), []
+    for t in range(total):
+        ready = [s for s in sorted(blocks) if count[s] < blocks[s] and flow[t + 1][s] > count[s]]  # released: begun within this slot
+        s = min(ready, key=lambda s: (Fraction(count[s] + 1) / Fraction(weights[s]), s))  # the flow ends blocks in this order
+        out.append(s)
+        count[s] += 1
+    return out, flow
+
+
 def test_every_prefix_of_a_schedule_is_within_a_block():
     rng = random.Random(5)
-    for _ in range(100):
+    for _ in range(60):
         n = rng.randint(1, 9)
-        quota = mix_sources.quotas({f"s{i}": rng.choice([1, 2, 3, 50, 1000]) for i in range(n)}, 60)
-        assert sum(quota.values()) == 60 and min(quota.values()) >= 1
-        count = dict.fromkeys(quota, 0)
-        for t, s in enumerate(mix_sources.edf(quota), 1):
+        blocks = {f"s{i}": rng.choice([1, 2, 5, 40]) for i in range(n)}
+        weights = {s: rng.choice([1, 2, 3, 50, 1000, 0.1, Fraction(1, 3)]) for s in blocks}
+        slots = mix_sources.exact_slots(blocks, weights)
+        want, flow = one_by_one(blocks, weights)
+        order = {t: s for s, found in slots.items() for t in found}
+        assert [order[t] for t in range(len(want))] == want
+        count = dict.fromkeys(blocks, 0)
+        for t, s in enumerate(want, 1):
             count[s] += 1
-            assert all(abs(count[x] - Fraction(quota[x] * t, 60)) < 1 for x in quota)
-
-
-def one_by_one(sizes, weights, block_rows, period):
-    """The slots' sources by a plain simulation, slot after slot, of each phase's quotas."""
-    left = {s: -(-n // block_rows) for s, n in sizes.items()}
-    out = []
-    while live := {s: weights[s] for s in left if left[s]}:
-        quota = mix_sources.quotas(live, max(period, len(live)))
-        whole = sum(quota.values())
-        done, t = dict.fromkeys(live, 0), 0
-        while all(left[s] for s in live):
-            ready = [s for s in sorted(live) if done[s] * whole // quota[s] <= t]
-            s = min(ready, key=lambda s: (-(-(done[s] + 1) * whole // quota[s]), s))
-            out.append(s)
-            done[s] += 1
-            left[s] -= 1
-            t += 1
-    return out
+            assert all(abs(count[x] - flow[t][x]) < 1 for x in blocks)
 
 
 @pytest.mark.parametrize("weights", [None, {"a": 5, "b": 1, "c": 2, "d": 0.5}])
 def test_mix_equals_a_simulation(docs, weights):
     sizes = {"a": 70, "b": 33, "c": 9, "d": 1}
     rows = [(i, "t", "en", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
-    got = mix_sources.mix(docs(rows), weights, block_rows=4, period=20).collect()
+    got = mix_sources.mix(docs(rows), weights, block_rows=4).collect()
     assert len(got) == len(rows) and len({r["position"] for r in got}) == len(rows)
     by_slot = {}
     for r in got:
         assert by_slot.setdefault(r["slot"], (r["source"], r["source_block"])) == (r["source"], r["source_block"])
-    target = {"=" + s: Fraction(weights[s]) if weights else Fraction(n**0.5) for s, n in sizes.items()}
-    assert ["=" + by_slot[k][0] for k in sorted(by_slot)] == one_by_one({"=" + s: n for s, n in sizes.items()}, target, 4, 20)
+    target = weights or {s: Fraction(round(n**0.5 * 10**6)) for s, n in sizes.items()}
+    assert [by_slot[k][0] for k in sorted(by_slot)] == one_by_one({s: -(-n // 4) for s, n in sizes.items()}, target)[0]
     assert sorted(by_slot) == list(range(len(by_slot)))
 
 
 def test_mix_of_odd_rows(docs):
     rows = [(None, None, None, None), (1, "x", "en", ""), (1, "x", "en", ""), (2, None, "en", None)]
-    got = mix_sources.mix(docs(rows), block_rows=1, period=4)
+    got = mix_sources.mix(docs(rows), block_rows=1)
     assert got.columns.count("slot") == 1 and sorted(r["position"] for r in got.collect()) == [0, 1, 2, 3]
     assert mix_sources.mix(docs(rows).where("false")).count() == 0
 
