@@ -17,3 +17,15 @@ def test_round_trip_and_resolution(spark, tmp_path):
     captures = warc_io.read(spark, f"file://{tmp_path}/a.warc.gz")
     found = {r["capture_id"] & 0xFFFFFF: r for r in revisits.resolve(captures.where("error is null")).collect()}
     assert found[1]["outcome"] == "resolved" and found[1]["n_bytes"] == 11 and "content-type: text/html" in found[1]["header_lines"]
+
+
+def test_a_hundred_files_and_none(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    (tmp_path / "none").mkdir()
+    for i in range(100):
+        (tmp_path / "many" / f"{i:03d}.warc").write_bytes(b"".join(warc_io.record("response", f"http://a/{i}/{k}", k, 200, {}, b"x") for k in range(3)))
+    got = warc_io.read(spark, f"file://{tmp_path}/many").select("capture_id", "file", "url", "error").collect()
+    assert len(got) == len({r["capture_id"] for r in got}) == 300 and not any(r["error"] for r in got)
+    assert {r["capture_id"]: r["url"] for r in got} == {i * 2**32 + k: f"http://a/{i}/{k}" for i in range(100) for k in range(3)}
+    assert warc_io.read(spark, f"file://{tmp_path}/none").count() == 0
+    assert revisits.resolve(warc_io.read(spark, f"file://{tmp_path}/none").where("error is null")).count() == 0

@@ -14,12 +14,14 @@ import hashlib
 import io
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
 CAPTURES = "capture_id long, file string, kind string, url string, ts long, status int, headers map<string,string>, digest string, n_bytes long, body binary, error string"
+#: Records that a file's numbers leave room for, and tasks that files are dealt to.
+RECORDS, MAX_TASKS = 2**32, 100_000
 _FIELDS = ("capture_id", "file", "kind", "url", "ts", "status", "headers", "digest", "n_bytes", "body", "error")
 
 
@@ -56,10 +58,16 @@ def parse(stream):
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Captures of all files below path, ready for revisits.resolve; capture_id is unique within a run."""
+    """Captures of all files below path, ready for revisits.resolve.
+
+    capture_id numbers the records by file, in the order of paths, and within
+    it: 2**31 files of 2**32 records. It is the same in every run over the same
+    files. A folder without files gives no captures.
+    """
     shared.prepare(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length"))
-    files = files.repartition(max(1, files.count())).select(F.monotonically_increasing_id().alias("n"), "path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    numbered = files.select((F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("n"), "path")  # the list that the driver has read
+    files = numbered.repartition(min(max(1, files.count()), MAX_TASKS))
 
     def run(batches):
         for b in batches:
@@ -74,13 +82,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     while True:
                         try:
                             kind, url, ts, status, headers, digest, body = next(records)
-                            rows.append((n << 24 | k, name, kind, url, ts, status, list(headers.items()), digest, len(body), body, None))
+                            rows.append((n * RECORDS + k, name, kind, url, ts, status, list(headers.items()), digest, len(body), body, None))
                             size += len(body)
                             k += 1
                         except StopIteration:
                             break
                         except (ValueError, KeyError, EOFError, OSError) as e:
-                            rows.append((n << 24 | k, name, None, None, None, None, [], None, None, None, str(e)[:200]))
+                            rows.append((n * RECORDS + k, name, None, None, None, None, [], None, None, None, str(e)[:200]))
                             break
                         if size > 1 << 23:
                             yield _batch(rows)
