@@ -173,10 +173,10 @@ def test_decontamination_in_passes(spark, docs, monkeypatch):
 
 
 def test_licenses(docs):
-    s = license_scan._SENTENCES
-    mit = "\n\n".join(s[k] for k in ("mit-grant", "mit-notice", "mit-warranty", "mit-liability"))
-    wrapped = re.sub(r"((?:\S+\s+){8})", r"\1\n", s["bsd-grant"] + "\n\n" + s["bsd-source"] + "\n" + s["bsd-binary"])
-    rows = [(1, f"x\n{mit}\ny"), (2, wrapped), (3, "All MIT licensed? no."), (4, "Prose.\nLicensed under CC BY-NC 4.0.\nSPDX-License-Identifier: GPL-2.0-only"), (5, s["mit-notice"]), (6, None), (7, ""), (7, ""), (None, "Released under the MIT License.")]
+    mit = license_scan._NOTICES["mit-text"][1]
+    source = license_scan._NOTICES["bsd-2-text"][1].replace("\n1. ", "\n\n").replace("\n2. ", "\n")
+    wrapped = re.sub(r"((?:\S+\s+){8})", r"\1\n", source)
+    rows = [(1, f"x\n{mit}\ny"), (2, wrapped), (3, "All MIT licensed? no."), (4, "Prose.\nLicensed under CC BY-NC 4.0.\nSPDX-License-Identifier: GPL-2.0-only"), (5, "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."), (6, None), (7, ""), (7, ""), (None, "Released under the MIT License.")]
     got = {(r["doc_id"], r["licenses"]) for r in license_scan.scan(docs(rows)).collect()}
     assert got == {(1, "MIT"), (2, "BSD-2-Clause"), (3, ""), (4, "CC-BY-NC-4.0,GPL-2.0-only"), (5, ""), (6, ""), (7, ""), (None, "MIT")}
     assert license_scan.scan(docs(rows).where("false")).count() == 0
