@@ -158,7 +158,7 @@ def test_decontamination(spark, docs):
     rows = [(1, f"{words(5)} {item.replace(' ', ', ')} tail"), (2, "a Short,  ITEM b"), (3, words(13, 0, "q") + " " + words(300)), (3, words(12, 0, "q")), (4, None), (5, ""), (None, "short item")]
     got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.contamination(docs(rows), bench).collect()), key=str)
     assert got == sorted([(1, 21, 15, ["1", "2"], True), (2, 4, 2, ["3"], True), (3, 313, 13, ["1", "2"], False), (3, 12, 0, [], False), (4, 0, 0, [], False), (5, 0, 0, [], False), (None, 2, 2, ["3"], True)], key=str)
-    whole = decontaminate.contamination(docs(rows), bench, rows=True).where("not contaminated").select("row.*")
+    whole = decontaminate.drop_contaminated(docs(rows), bench)
     assert whole.columns == docs(rows).columns and whole.where("text is not null").count() == 3
     assert decontaminate.contamination(docs(rows), bench.where("false")).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(docs(rows).where("false"), bench).count() == 0

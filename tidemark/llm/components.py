@@ -5,35 +5,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import tables
 
+#: A node with more neighbours than this is joined apart, by a broadcast; there are at most twice as many such nodes as edges, divided by it.
+HOT = 100_000
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One round: every node points its larger (or its smaller) neighbours, or itself, to the smallest one it knows."""
+
+def _table(df: DataFrame) -> tuple[DataFrame, str]:
+    path = tables.new_folder(df.sparkSession, "edges")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _with_least(around: DataFrame, least: DataFrame, hot: int) -> DataFrame:
+    """around with the minimum m of each row's u; rows of a node with many are not brought together."""
+    n_hot = least.where(F.col("n") > hot).count()
+    if not n_hot:
+        return around.join(least.select("u", "m"), "u")
+    many = F.broadcast(least.where(F.col("n") > hot).select("u", "m"))
+    few = around.join(F.broadcast(least.where(F.col("n") > hot).select("u")), "u", "left_anti")
+    return around.join(many, "u").unionByName(few.join(least.where(F.col("n") <= hot).select("u", "m"), "u"))
+
+
+def _stars(edges: DataFrame, large: bool, hot: int) -> tuple[DataFrame, list[str]]:
+    """One round: every node points its larger (or its smaller) neighbours, or itself, to the smallest one it knows; and the tables it has made."""
     if large:
         around = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least, path = _table(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        out = _with_least(around, least, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = around.groupBy("u").agg(F.min("v").alias("m"))
-        out = around.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+        least, path = _table(around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        out = _with_least(around, least, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    out, made = _table(out.where("u <> v").distinct())
+    return out, [path, made]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
     """(node, component): the smallest node that each node of edges (u, v) is connected with; the smallest nodes too.
 
     The rounds number as the logarithm of the longest chain. Each round's edges
-    are a table in the shared folder; a node with many neighbours is no group
-    of its own in any task, for minima are pre-aggregated and joins split.
+    are a table in the shared folder; those of rounds before are removed. A
+    node with many neighbours is no group of its own in any task: minima are
+    pre-aggregated, and the edges of such nodes meet them by a broadcast. Edges
+    that are null, repeat or join a node with itself add nothing.
     """
-    edges = shared.written(edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct(), "edges")
+    spark = edges.sparkSession
+    edges, path = _table(edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct())
     before = None
     while True:
         after = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if before == tuple(after) or not after[0]:
             break
         before = tuple(after)
-        edges = shared.written(_stars(shared.written(_stars(edges, True), "edges"), False), "edges")
+        half, made = _stars(edges, True, hot)
+        edges, more = _stars(half, False, hot)
+        for old in [path, *made, more[0]]:
+            tables.drop(spark, old)
+        path = more[1]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

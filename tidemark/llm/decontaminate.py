@@ -8,7 +8,8 @@ in the window bounds where the window would begin and end (the length and
 positional bounds), and the words there are compared with the window's (the
 exact check). One pass over the documents counts the words that benchmark
 items use, a second explodes, joins, checks and keeps what holds, all before
-any row is written; only hits and one row per document are shuffled.
+any row is written. Only hits are shuffled, by what their document is, and
+joined to the documents again.
 """
 
 from __future__ import annotations
@@ -17,10 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tables
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows broadcast at once (about 0.3 KB each); a larger benchmark takes several passes.
 MAX_WINDOWS = 200_000
+#: Words or documents with hits that may be broadcast (some 50 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -38,52 +43,79 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
     return words.where("__item is not null").select("__item", F.explode(wins).alias("win")).distinct().withColumn("n", F.size("win"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def prefixed(windows: DataFrame, docs: DataFrame) -> DataFrame:
     """windows and the word of each that is rarest in docs (__text), with its place."""
     vocabulary = windows.select(F.explode("win").alias("word")).distinct()
+    few = vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     seen = docs.select(F.explode(words_of(F.col("__text"))).alias("word"))
-    counts = seen.join(F.broadcast(vocabulary), "word").groupBy("word").count()
+    counts = seen.join(F.broadcast(vocabulary), "word").groupBy("word").count() if few else seen.groupBy("word").count().join(vocabulary, "word")
     places = windows.select("__item", "win", "n", F.posexplode("win").alias("off", "word"))
     rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), "word", "off")).alias("r")
-    return places.join(counts, "word", "left").groupBy("__item", "win", "n").agg(rarest).select("__item", "win", "n", F.col("r.word").alias("word"), F.col("r.off").alias("off"))
+    # a word that many windows hold is no group of its own where the counts are broadcast
+    return places.join(F.broadcast(counts) if few else counts, "word", "left").groupBy("__item", "win", "n").agg(rarest).select("__item", "win", "n", F.col("r.word").alias("word"), F.col("r.off").alias("off"))
+
 
+def _what(text: Column) -> list[Column]:
+    """What a text is known by, beside its document's id."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("__h"), F.crc32(text.cast("binary")).alias("__c"), F.octet_length(text).alias("__l")]
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rows: bool = False) -> DataFrame:
-    """For each row of docs: n_words, n_hit, items (sorted as strings) and contaminated.
 
-    A word is hit inside any occurrence of a window of a benchmark item; a
-    document is contaminated if it has a hit word and at least 1/share of its
-    words are hit. Returns id_col (with rows: `row`, a struct of all columns of
-    docs) and the four results.
-    Defined results: null or empty texts have no words; items without words or
-    with a null id have no windows; rows that repeat, ids included, stay rows
-    of their own; an empty benchmark hits nothing; empty docs give no rows.
-    """
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), (F.struct(*docs.columns) if rows else F.lit(None).cast("struct<x:int>")).alias("__row"))
+def _hits(docs: DataFrame, benchmark: DataFrame, size: int, share: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """(__id, __h, __c, __l, n_hit, items, contaminated) of the documents with a hit."""
+    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     items = benchmark.select(F.col(item_col).alias("__item"), F.col(item_text_col).alias("__text"))
-    windows = item_windows(items, size).persist()
-    n_windows = windows.count()
-    passes = max(1, -(-n_windows // MAX_WINDOWS))
-    words = base.select(F.monotonically_increasing_id().alias("rid"), "__id", "__row", words_of(F.col("__text")).alias("w"))
-    places = words.select("rid", "__id", "__row", "w", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "word"))
-    parts = []
+    windows = tables.written(item_windows(items, size), "windows")
+    keyed = tables.written(prefixed(windows, base).select(F.col("word").alias("key"), "off", "n", "win", F.col("__item").alias("item")), "windows")
+    passes = max(1, -(-keyed.count() // MAX_WINDOWS))
+    words = base.select("__id", *_what(F.col("__text")), words_of(F.col("__text")).alias("w"))
+    places = words.select("__id", "__h", "__c", "__l", "w", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
+    begin = F.col("pos") - F.col("off")
+    holds = (F.col("word") == F.col("key")) & (begin >= 0) & (begin + F.col("n") <= F.col("n_words")) & (F.slice("w", F.greatest(begin + 1, F.lit(1)), F.col("n")) == F.col("win"))
+    found = None
     for k in range(passes):
-        share_of = windows if passes == 1 else windows.where(F.pmod(F.xxhash64("win"), F.lit(passes)) == k)
-        keyed = prefixed(share_of, base).select(F.col("word").alias("key"), "off", "n", "win", F.col("__item").alias("item"))
-        begin = F.col("pos") - F.col("off")
-        holds = (F.col("word") == F.col("key")) & (begin >= 0) & (begin + F.col("n") <= F.col("n_words")) & (F.slice("w", F.greatest(begin + 1, F.lit(1)), F.col("n")) == F.col("win"))
-        joined = places.join(F.broadcast(keyed), holds, "left" if k == 0 else "inner")
-        if k == 0:
-            joined = joined.where(F.col("item").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0))
-        first = F.col("pos").isNull() | (F.col("pos") == 0)
-        parts.append(joined.select("rid", "__id", F.when(first, F.col("__row")).alias("__row"), "n_words", F.when(F.col("item").isNotNull(), F.struct(begin.alias("begin"), "n")).alias("hit"), "item"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    by_doc = found.groupBy("rid").agg(F.first("__id").alias("__id"), F.first("__row", ignorenulls=True).alias("__row"), F.first("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("item").alias("found"))
+        part = keyed if passes == 1 else keyed.where(F.pmod(F.xxhash64("win"), F.lit(passes)) == k)
+        hit = places.join(F.broadcast(part), holds).select("__id", "__h", "__c", "__l", "n_words", F.struct(begin.alias("begin"), "n").alias("hit"), "item")
+        found = hit if found is None else found.unionByName(hit)
+    by_doc = found.groupBy("__id", "__h", "__c", "__l").agg(F.first("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("item").alias("found"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["begin"], h["begin"] + h["n"] - 1))))
-    out = by_doc.select(F.col("__row").alias("row") if rows else F.col("__id").alias(id_col), F.col("n_words").cast("long"), F.size(covered).cast("long").alias("n_hit"), F.sort_array(F.transform("found", lambda i: i.cast(T.StringType()))).alias("items"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    out = by_doc.select("__id", "__h", "__c", "__l", F.size(covered).cast("long").alias("n_hit"), F.sort_array(F.transform("found", lambda i: i.cast(T.StringType()))).alias("items"), "n_words")
+    return tables.written(out.withColumn("contaminated", share * F.col("n_hit") >= F.col("n_words")).drop("n_words"), "hits")
+
+
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    return left["__id"].eqNullSafe(right["__id"]) & (left["__h"] == right["__h"]) & (left["__c"] == right["__c"]) & (left["__l"] == right["__l"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """For each row of docs: its id, n_words, n_hit, items (sorted as strings) and contaminated.
+
+    A word is hit inside any occurrence of a window of a benchmark item; a
+    document is contaminated if it has a hit word and at least 1/share of its
+    words are hit. Defined results: null or empty texts have no words; items
+    without words or with a null id have no windows; rows that repeat, ids
+    included, stay rows of their own; an empty benchmark hits nothing; empty
+    docs give no rows; other columns of docs are not returned.
+    """
+    hits = _hits(docs, benchmark, size, share, id_col, text_col, item_col, item_text_col)
+    rows = docs.select(F.col(id_col).alias("__id"), *_what(F.col(text_col)), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
+    small = _small(hits)
+    out = rows.join(small, _same(rows, small), "left")
+    none = F.array().cast("array<string>")
+    return out.select(rows["__id"].alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs that contamination() doesn't call contaminated, with all their columns; where few are, nothing but hits is moved."""
+    bad = _hits(docs, benchmark, size, share, id_col, text_col, item_col, item_text_col).where("contaminated").select("__id", "__h", "__c", "__l")
+    names = docs.columns
+    rows = docs.withColumn("__row", F.struct(*names)).select("__row", F.col(id_col).alias("__id"), *_what(F.col(text_col)))
+    bad = _small(bad)
+    return rows.join(bad, _same(rows, bad), "left_anti").select(*[F.col("__row").getField(c).alias(c) for c in names])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

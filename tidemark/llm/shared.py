@@ -10,7 +10,8 @@ import numpy as np
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
-from ..sources.cluster import checkpoint_root, ship_package
+from ..sources.cluster import ship_package
+from .tables import new_folder, written  # noqa: F401
 
 
 #: Rows and bytes of an Arrow batch of texts: what a Python worker and its executor hold of its input at once.
@@ -26,18 +27,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """The URI of a folder of our own below checkpoint_root."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df, name: str):
-    """df as a table in the shared folder, read again: what comes after starts from files, not from df's plan."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _open(uri: str):
     if "://" not in uri and not uri.startswith("file:"):
         uri = f"file://{os.path.abspath(uri)}"
