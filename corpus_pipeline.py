@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, mix_sources, near_dedup, shared, substring_dedup
+from tidemark.llm import decontaminate, language_id, mix_sources, near_dedup, substring_dedup, tables
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +27,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that an earlier one holds; a text that loses nothing stays as it is."""
-    cut = substring_dedup.dedup_substrings(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
-    chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))
-    made = {"text": text, "n_chars": chars}
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = substring_dedup.dedup_substrings(docs.select("doc_id", "text", F.struct(*rest).alias("row")))
+    lost = F.col("n_removed") > 0
+    made = {
+        "doc_id": F.col("doc_id"),
+        "text": F.when(lost, F.col("kept_text")).otherwise(F.col("text")),
+        "n_chars": F.when(lost, F.char_length("kept_text").cast("long")).otherwise(F.col("row.n_chars")),
+    }
     return cut.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't hold benchmark items to a twentieth of their words or more."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), rows=True)
-    return found.where(~F.col("contaminated")).select("row.*")
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +61,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what lies between two stages is a table in the shared folder."""
+    """All stages over `documents`; what lies between two stages is a table in the shared folder, and what a stage has written besides goes with it.
+
+    Defined results: a document without letters in its text, or with a null or
+    empty one, has no language and goes in the first stage, so no later one
+    sees a null text; a null doc_id, lang or source stays a value like others
+    (documents with a null id are no near duplicates and lose no passages);
+    rows that repeat an id are one document to near-dedup, of which one row
+    stays; columns beyond those of `documents` go through every stage, but
+    those named source_block, slot and position are replaced in the last; an
+    empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = shared.written(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with tables.scope(spark):
+            docs = tables.kept(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
