@@ -1,31 +1,36 @@
-"""Expressions that the daily tables share."""
+"""Expressions that the daily tables share. Means and ratios are taken in decimals, so no order of summation can move a value over a tie."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Added before rounding: a mean of two-decimal values that lies on a tie rounds up whatever the order of summation.
-EPSILON = 1e-9
+#: Holds counts, milliseconds and values of up to six decimals.
+DECIMAL = "decimal(20,6)"
+
+
+def exact(x: Column) -> Column:
+    return x.cast("double").cast(DECIMAL)
 
 
 def rounded(x: Column, scale: int = 2) -> Column:
-    return F.round(x + F.lit(EPSILON), scale)
+    """Rounded half up, as a double."""
+    return F.round(x, scale).cast("double")
 
 
 def mean(x: Column, scale: int = 2) -> Column:
     """Rounded mean; nulls don't count."""
-    return rounded(F.avg(x.cast("double")), scale)
+    return rounded(F.avg(exact(x)), scale)
 
 
 def share(condition: Column, scale: int = 2) -> Column:
     """Rounded share of all rows; where the condition is null it counts as false."""
-    return rounded(F.avg(F.when(condition, 1.0).otherwise(0.0)), scale)
+    return mean(F.when(condition, 1.0).otherwise(0.0), scale)
 
 
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, rounded; 0.0 where whole is not positive."""
-    return F.when(whole > 0, rounded(part / whole)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, rounded(F.try_divide(exact(part), exact(whole)))).otherwise(F.lit(0.0))
 
 
 def any_of(condition: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import mean, ratio, rounded, share
-from ..sources.schemas import COUNTRY_DAILY, conform
+from ..functions.exprs import exact, mean, ratio, rounded, share
+from ..sources.schemas import BOUNCE_MS, COUNTRY_DAILY, TIMEOUT_EXIT, conform
 
 KEYS = ["datetime", "country"]
 
@@ -21,10 +21,10 @@ def base(sessions: DataFrame) -> DataFrame:
         F.sum("is_exit").alias("exit_sessions"),
         mean(F.col("is_complete")).alias("completion_rate"),
         mean(F.col("is_exit")).alias("exit_rate"),
-        share(F.col("session_state") == "TIMEOUT_EXIT", 0).alias("timeout_exit_rate"),
+        share(F.col("session_state") == TIMEOUT_EXIT, 0).alias("timeout_exit_rate"),
         mean(F.col("max_scroll_ratio")).alias("avg_scroll_ratio"),
         mean(F.col("duration_ms")).alias("avg_duration_ms"),
-        share(F.col("duration_ms") <= 10000, 0).alias("bounce_ratio"),
+        share(F.col("duration_ms") <= BOUNCE_MS, 0).alias("bounce_ratio"),
     )
     users = F.col("unique_users")
     return out.withColumns({"sessions_per_user": ratio(F.col("total_sessions"), users), "active_user_depth": ratio(F.col("total_episode_views"), users)})
@@ -32,14 +32,14 @@ def base(sessions: DataFrame) -> DataFrame:
 
 def against_all(table: DataFrame) -> DataFrame:
     """Gaps and indexes against all countries of the day, whose means are weighted by sessions. A day has few countries."""
-    n = F.col("total_sessions")
+    n = F.col("total_sessions").cast("decimal(15,0)")
     overall = table.groupBy("datetime").agg(
-        rounded(F.sum("complete_sessions") / F.sum(n)).alias("all_completion"),
-        rounded(F.sum(F.col("avg_scroll_ratio") * n) / F.sum(n)).alias("all_scroll"),
-        rounded(F.sum(F.col("avg_duration_ms") * n) / F.sum(n)).alias("all_duration"),
+        rounded(F.sum("complete_sessions").cast("decimal(15,0)") / F.sum(n).cast("decimal(15,0)")).alias("all_completion"),
+        rounded(F.sum(F.col("avg_scroll_ratio").cast("decimal(15,2)") * n).cast("decimal(20,2)") / F.sum(n).cast("decimal(15,0)")).alias("all_scroll"),
+        rounded(F.sum(F.col("avg_duration_ms").cast("decimal(15,2)") * n).cast("decimal(20,2)") / F.sum(n).cast("decimal(15,0)")).alias("all_duration"),
     )
     return table.join(overall, "datetime", "left").withColumns({
-        "completion_rate_gap_vs_global": rounded(F.col("completion_rate") - F.col("all_completion")),
+        "completion_rate_gap_vs_global": rounded(exact(F.col("completion_rate")) - exact(F.col("all_completion"))),
         "scroll_depth_index": ratio(F.col("avg_scroll_ratio"), F.col("all_scroll")),
         "avg_duration_index": ratio(F.col("avg_duration_ms"), F.col("all_duration")),
         "completion_exit_ratio": ratio(F.col("completion_rate"), F.col("exit_rate")),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import mean, ratio, share
-from ..sources.schemas import EPISODE_DAILY, conform
+from ..sources.schemas import BOUNCE_MS, EPISODE_DAILY, IN_PROGRESS, TIMEOUT_EXIT, conform
 
 KEYS = ["datetime", "webtoon_id", "episode_id"]
 # Lower bounds of the scroll buckets; the last one is closed at 1.
@@ -20,7 +20,7 @@ def audience() -> list[Column]:
         F.count_distinct("session_id").alias("total_sessions"),
         F.sum("is_complete").alias("complete_sessions"),
         F.sum("is_exit").alias("exit_sessions"),
-        F.count_if(F.col("session_state") == "IN_PROGRESS").alias("incomplete_sessions"),
+        F.count_if(F.col("session_state") == IN_PROGRESS).alias("incomplete_sessions"),
         F.count_distinct("user_id").alias("unique_users"),
         F.count_distinct(F.when(done, F.col("user_id"))).alias("unique_complete_users"),
         F.count_distinct(F.when(left, F.col("user_id"))).alias("unique_exit_users"),
@@ -28,8 +28,8 @@ def audience() -> list[Column]:
         mean(F.col("duration_ms")).alias("avg_duration_ms"),
         mean(F.col("is_complete")).alias("completion_rate"),
         mean(F.col("is_exit")).alias("exit_rate"),
-        share(F.col("session_state") == "TIMEOUT_EXIT").alias("timeout_exit_rate"),
-        share(F.col("duration_ms") <= 10000).alias("bounce_ratio"),
+        share(F.col("session_state") == TIMEOUT_EXIT).alias("timeout_exit_rate"),
+        share(F.col("duration_ms") <= BOUNCE_MS).alias("bounce_ratio"),
         mean(F.when(left, F.col("max_scroll_ratio"))).alias("scroll_dropoff_point"),
     ]
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import mean, ratio, rounded, share
-from ..sources.schemas import PLATFORM_DAILY, conform
+from ..functions.exprs import exact, mean, ratio, rounded, share
+from ..sources.schemas import BOUNCE_MS, PLATFORM_DAILY, TIMEOUT_EXIT, conform
 
 KEYS = ["datetime", "platform", "device", "browser"]
 
@@ -17,17 +17,17 @@ def base(sessions: DataFrame) -> DataFrame:
         F.count_distinct("user_id").alias("unique_users"),
         mean(F.col("is_complete")).alias("completion_rate"),
         mean(F.col("is_exit")).alias("exit_rate"),
-        share(F.col("session_state") == "TIMEOUT_EXIT").alias("timeout_exit_rate"),
+        share(F.col("session_state") == TIMEOUT_EXIT).alias("timeout_exit_rate"),
         mean(F.col("max_scroll_ratio")).alias("avg_scroll_ratio"),
         mean(F.col("duration_ms")).alias("avg_duration_ms"),
-        mean(F.col("duration_ms") <= 10000).alias("bounce_ratio"),
+        mean(F.col("duration_ms") <= BOUNCE_MS).alias("bounce_ratio"),
     )
     return out.withColumn("sessions_per_user", ratio(F.col("total_sessions"), F.col("unique_users")))
 
 
 def _spread(column: str, *within: str) -> Column:
     w = Window.partitionBy("datetime", *within)
-    return rounded(F.max(column).over(w) - F.min(column).over(w))
+    return rounded(exact(F.max(column).over(w)) - exact(F.min(column).over(w)))
 
 
 def gaps(table: DataFrame) -> DataFrame:

@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import any_of
-from ..sources.schemas import BRONZE, EVENT, REQUIRED, SESSION_KEYS, SILVER, UNKNOWN, conform
+from ..sources.schemas import BRONZE, COMPLETE, COMPLETE_RATIO, EVENT, EXIT, IN_PROGRESS, REQUIRED, SESSION_KEYS, SILVER, TIMEOUT_EXIT, TIMEOUT_SECONDS, UNKNOWN, conform
 
-COMPLETE_RATIO = 0.95
-TIMEOUT_SECONDS = 600
 
 
 def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -62,13 +60,13 @@ def classify(sessions: DataFrame, as_of: Column | None = None) -> DataFrame:
     as_of = F.current_timestamp() if as_of is None else as_of
     idle = F.unix_timestamp(as_of) - F.unix_timestamp("end_time")
     state = (
-        F.when(F.col("seen_complete") & (F.col("max_scroll_ratio") >= COMPLETE_RATIO), "COMPLETE")
-        .when(F.col("seen_exit") & (F.col("max_scroll_ratio") < COMPLETE_RATIO), "EXIT")
-        .when(idle > TIMEOUT_SECONDS, "TIMEOUT_EXIT")
-        .otherwise("IN_PROGRESS")
+        F.when(F.col("seen_complete") & (F.col("max_scroll_ratio") >= COMPLETE_RATIO), COMPLETE)
+        .when(F.col("seen_exit") & (F.col("max_scroll_ratio") < COMPLETE_RATIO), EXIT)
+        .when(idle > TIMEOUT_SECONDS, TIMEOUT_EXIT)
+        .otherwise(IN_PROGRESS)
     )
     out = sessions.withColumn("session_state", state)
-    return out.withColumns({"is_complete": (F.col("session_state") == "COMPLETE").cast("int"), "is_exit": F.col("session_state").isin("EXIT", "TIMEOUT_EXIT").cast("int")})
+    return out.withColumns({"is_complete": (F.col("session_state") == COMPLETE).cast("int"), "is_exit": F.col("session_state").isin(EXIT, TIMEOUT_EXIT).cast("int")})
 
 
 def cleanse(events: DataFrame) -> DataFrame:

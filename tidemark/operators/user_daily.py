@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import mean, ratio, rounded
-from ..sources.schemas import USER_DAILY, conform
+from ..functions.exprs import mean, ratio
+from ..sources.schemas import BOUNCE_MS, IN_PROGRESS, USER_DAILY, conform
 
 KEYS = ["datetime", "user_id"]
 
@@ -30,10 +30,10 @@ def _base() -> list:
         F.size(F.collect_set(F.struct("session_id", "episode_id"))).cast("long").alias("total_episode_sessions"),
         F.sum("is_complete").alias("complete_sessions"),
         F.sum("is_exit").alias("exit_sessions"),
-        F.count_if(F.col("session_state") == "IN_PROGRESS").alias("incomplete_sessions"),
+        F.count_if(F.col("session_state") == IN_PROGRESS).alias("incomplete_sessions"),
         mean(F.col("max_scroll_ratio")).alias("avg_scroll_ratio"),
         mean(F.col("duration_ms")).alias("avg_duration_ms"),
-        mean(F.col("duration_ms") <= 10000).alias("bounce_ratio"),
+        mean(F.col("duration_ms") <= BOUNCE_MS).alias("bounce_ratio"),
         F.size(F.collect_set("episode_id")).cast("long").alias("distinct_episode_views"),
         F.size(F.collect_set(F.when(done, F.col("episode_id")))).cast("long").alias("distinct_episode_completes"),
     ]
@@ -46,7 +46,7 @@ def _rates(df: DataFrame) -> DataFrame:
 
 def return_interval():
     """Mean gap between sessions; none is 0.0."""
-    return F.coalesce(rounded(F.avg("gap_sec")), F.lit(0.0)).alias("avg_return_interval_sec")
+    return F.coalesce(mean(F.col("gap_sec")), F.lit(0.0)).alias("avg_return_interval_sec")
 
 
 def repeat_completes():

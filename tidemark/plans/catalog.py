@@ -30,7 +30,8 @@ def query(name: str, sql: str | None = None, date: str | None = "datetime"):
 # ---- SQL parts ----------------------------------------------------------------------------------
 _KEYS = ", ".join(SESSION_KEYS)
 _RAW = f"raw AS ({testbed.RAW_SQL})"
-_CLEAN = _RAW + ", clean AS (SELECT * REPLACE (coalesce(platform, 'UNKNOWN') AS platform, coalesce(country, 'UNKNOWN') AS country, coalesce(device, 'UNKNOWN') AS device, coalesce(browser, 'UNKNOWN') AS browser) FROM raw)"
+_FILLED = "SELECT * REPLACE (coalesce(platform, 'UNKNOWN') AS platform, coalesce(country, 'UNKNOWN') AS country, coalesce(device, 'UNKNOWN') AS device, coalesce(browser, 'UNKNOWN') AS browser)"
+_CLEAN = f"{_RAW}, {testbed.FEED_SQL}, clean AS ({_FILLED} FROM whole)"
 _AGG = f"""SELECT {_KEYS}, min(ts) AS start_time, max(ts) AS end_time, max(dwell_time_ms) AS duration_ms, round(max(scroll_ratio), 2) AS max_scroll_ratio,
   bool_or(event_type = 'enter') AS seen_enter, bool_or(event_type = 'scroll') AS seen_scroll, bool_or(event_type = 'complete') AS seen_complete, bool_or(event_type = 'exit') AS seen_exit
   FROM {{}} GROUP BY {_KEYS}"""
@@ -47,12 +48,24 @@ _SILVER = _AGGREGATED + f", s AS ({_state('agg')})"
 _TIMES = "* REPLACE (epoch_us(start_time) AS start_time, epoch_us(end_time) AS end_time)"
 
 
-def _r(x: str, scale: int = 2) -> str:
-    return f"round(({x}) + 1e-9, {scale})"
+def _q(a: str, b: str, scale: int = 2) -> str:
+    """a / b rounded half up, in whole numbers; null where b is 0."""
+    p = 10**scale
+    return f"(CASE WHEN {a} < 0 THEN -1 ELSE 1 END * CAST((2 * abs({a}) * {p} + {b}) // nullif(2 * ({b}), 0) AS DOUBLE) / {p})"
+
+
+def _mean(x: str, scale: int = 2, unit: int = 100) -> str:
+    """The mean of values of two decimals."""
+    return _q(f"sum(CAST(round(CAST({x} AS DOUBLE) * {unit}) AS HUGEINT))", f"({unit} * count({x}))", scale)
+
+
+def _h(x: str) -> str:
+    """A value of two decimals, in hundredths."""
+    return f"CAST(round(({x}) * 100) AS HUGEINT)"
 
 
 def _ratio(a: str, b: str) -> str:
-    return f"CASE WHEN {b} > 0 THEN {_r(f'CAST({a} AS DOUBLE) / {b}')} ELSE 0.0 END"
+    return f"CASE WHEN {b} > 0 THEN {_q(_h(a), _h(b))} ELSE 0.0 END"
 
 
 def _n(x: str) -> str:
@@ -61,9 +74,9 @@ def _n(x: str) -> str:
 
 _AUDIENCE = f"""count(DISTINCT session_id) AS total_sessions, {_n('sum(is_complete)')} AS complete_sessions, {_n('sum(is_exit)')} AS exit_sessions, {_n("sum(CASE WHEN session_state = 'IN_PROGRESS' THEN 1 ELSE 0 END)")} AS incomplete_sessions,
   count(DISTINCT user_id) AS unique_users, count(DISTINCT CASE WHEN is_complete = 1 THEN user_id END) AS unique_complete_users, count(DISTINCT CASE WHEN is_exit = 1 THEN user_id END) AS unique_exit_users,
-  {_r('avg(max_scroll_ratio)')} AS avg_scroll_ratio, {_r('avg(duration_ms)')} AS avg_duration_ms, {_r('avg(is_complete)')} AS completion_rate, {_r('avg(is_exit)')} AS exit_rate,
-  {_r("avg(CASE WHEN session_state = 'TIMEOUT_EXIT' THEN 1.0 ELSE 0.0 END)")} AS timeout_exit_rate, {_r('avg(CASE WHEN duration_ms <= 10000 THEN 1.0 ELSE 0.0 END)')} AS bounce_ratio"""
-_DROPOFF = _r("avg(CASE WHEN is_exit = 1 THEN max_scroll_ratio END)")
+  {_mean('max_scroll_ratio')} AS avg_scroll_ratio, {_mean('duration_ms')} AS avg_duration_ms, {_mean('is_complete')} AS completion_rate, {_mean('is_exit')} AS exit_rate,
+  {_mean("CASE WHEN session_state = 'TIMEOUT_EXIT' THEN 1.0 ELSE 0.0 END")} AS timeout_exit_rate, {_mean('CASE WHEN duration_ms <= 10000 THEN 1.0 ELSE 0.0 END')} AS bounce_ratio"""
+_DROPOFF = _mean("CASE WHEN is_exit = 1 THEN max_scroll_ratio END")
 
 
 # ---- inputs -------------------------------------------------------------------------------------
@@ -71,14 +84,13 @@ def _raw(spark, d) -> DataFrame:
     return testbed.raw_events(spark, d)
 
 
-def _aggregated(spark, d) -> DataFrame:
-    clean = sessions.fill_unknown(_raw(spark, d)).withColumn("event_ts", F.try_to_timestamp("utimestamptz"))
-    return sessions.sessionize(clean)
+def _feed(spark, d) -> DataFrame:
+    return testbed.feed(spark, d)
 
 
 def _sessions(spark, d) -> DataFrame:
-    """event_id is unique in the driver's table, so nothing is deduplicated here."""
-    return schemas.conform(sessions.classify(_aggregated(spark, d), testbed.as_of()), schemas.SILVER)
+    """The sessions of the feed, with its repeats and holes."""
+    return sessions.build_sessions(_feed(spark, d), testbed.as_of())
 
 
 def _micros(df: DataFrame, *columns: str) -> DataFrame:
@@ -115,7 +127,7 @@ def silver_required_fields(spark, d):
     return sessions.required(testbed.with_holes(_raw(spark, d))).select("event_id", "user_id", "session_id", "datetime")
 
 
-@query("silver_fill_unknown", f"WITH {_CLEAN} SELECT event_id, platform, country, device, browser FROM clean", date=None)
+@query("silver_fill_unknown", f"WITH {_RAW} SELECT event_id, platform, country, device, browser FROM ({_FILLED} FROM raw)", date=None)
 def silver_fill_unknown(spark, d):
     return sessions.fill_unknown(_raw(spark, d)).select("event_id", "platform", "country", "device", "browser")
 
@@ -128,7 +140,7 @@ def late_data_filter(spark, d):
 # ---- sessions -----------------------------------------------------------------------------------
 @query("silver_session_agg", f"{_AGGREGATED} SELECT {_TIMES} FROM agg")
 def silver_session_agg(spark, d):
-    return _micros(_aggregated(spark, d))
+    return _micros(sessions.sessionize(sessions.cleanse(_feed(spark, d))))
 
 
 @query("silver_session_state", f"{_SILVER} SELECT {_TIMES} FROM s")
@@ -140,7 +152,7 @@ _HALF = "clean WHERE CAST(event_id AS BIGINT) % 2 = {}"
 
 
 def _half(spark, d, k):
-    return sessions.build_sessions(_raw(spark, d).where(F.col("event_id").cast("long") % 2 == k), testbed.as_of())
+    return sessions.build_sessions(_feed(spark, d).where(F.col("event_id").cast("long") % 2 == k), testbed.as_of())
 
 
 @query("silver_upsert_replace", f"WITH {_CLEAN}, a AS ({_state('(' + _AGG.format(_HALF.format(0)) + ')')}), b AS ({_state('(' + _AGG.format(_HALF.format(1)) + ')')}), u AS (SELECT * FROM b UNION ALL SELECT a.* FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {' AND '.join(f'a.{k} = b.{k}' for k in SESSION_KEYS)})) SELECT {_TIMES} FROM u")
@@ -162,11 +174,11 @@ def silver_refresh_states(spark, d):
 # ---- users --------------------------------------------------------------------------------------
 _TOTAL = "count(DISTINCT session_id || '|' || episode_id)"
 _USER_BASE = f"""SELECT datetime, user_id, {_TOTAL} AS total_episode_sessions, {_n('sum(is_complete)')} AS complete_sessions, {_n('sum(is_exit)')} AS exit_sessions,
-  {_n("sum(CASE WHEN session_state = 'IN_PROGRESS' THEN 1 ELSE 0 END)")} AS incomplete_sessions, {_r('avg(max_scroll_ratio)')} AS avg_scroll_ratio, {_r('avg(duration_ms)')} AS avg_duration_ms,
-  {_r('avg(CAST(duration_ms <= 10000 AS INTEGER))')} AS bounce_ratio, count(DISTINCT episode_id) AS distinct_episode_views, count(DISTINCT CASE WHEN is_complete = 1 THEN episode_id END) AS distinct_episode_completes,
+  {_n("sum(CASE WHEN session_state = 'IN_PROGRESS' THEN 1 ELSE 0 END)")} AS incomplete_sessions, {_mean('max_scroll_ratio')} AS avg_scroll_ratio, {_mean('duration_ms')} AS avg_duration_ms,
+  {_mean('CAST(duration_ms <= 10000 AS INTEGER)')} AS bounce_ratio, count(DISTINCT episode_id) AS distinct_episode_views, count(DISTINCT CASE WHEN is_complete = 1 THEN episode_id END) AS distinct_episode_completes,
   {_ratio('sum(is_complete)', _TOTAL)} AS completion_rate, {_ratio('sum(is_exit)', _TOTAL)} AS exit_rate, CAST(CASE WHEN count(DISTINCT episode_id) > 1 THEN 1 ELSE 0 END AS INTEGER) AS multi_episode_read_flag
   FROM s GROUP BY datetime, user_id"""
-_USER_GAP = f"""SELECT datetime, user_id, coalesce({_r('avg(gap)')}, 0.0) AS avg_return_interval_sec FROM (SELECT datetime, user_id, CASE WHEN b IS NOT NULL THEN greatest(CAST(floor(epoch(start_time)) AS BIGINT) - CAST(floor(epoch(b)) AS BIGINT), 0) END AS gap
+_USER_GAP = f"""SELECT datetime, user_id, coalesce({_mean('gap')}, 0.0) AS avg_return_interval_sec FROM (SELECT datetime, user_id, CASE WHEN b IS NOT NULL THEN greatest(CAST(floor(epoch(start_time)) AS BIGINT) - CAST(floor(epoch(b)) AS BIGINT), 0) END AS gap
   FROM (SELECT *, lag(end_time) OVER (PARTITION BY datetime, user_id ORDER BY start_time, end_time, session_id, webtoon_id, episode_id, platform, device, browser, country) AS b FROM s)) GROUP BY datetime, user_id"""
 _USER_REPEAT = f"SELECT datetime, user_id, {_n('sum(n - 1)')} AS repeat_episode_complete_count FROM (SELECT datetime, user_id, webtoon_id, episode_id, count(*) AS n FROM s WHERE is_complete = 1 GROUP BY ALL) GROUP BY datetime, user_id"
 
@@ -254,13 +266,13 @@ def title_daily_metrics(spark, d):
 # ---- platforms ----------------------------------------------------------------------------------
 _P_KEYS = "datetime, platform, device, browser"
 _P_BASE = f"""SELECT {_P_KEYS}, count(DISTINCT session_id) AS total_sessions, count(DISTINCT user_id) AS unique_users, {_ratio('count(DISTINCT session_id)', 'count(DISTINCT user_id)')} AS sessions_per_user,
-  {_r('avg(is_complete)')} AS completion_rate, {_r('avg(is_exit)')} AS exit_rate, {_r("avg(CASE WHEN session_state = 'TIMEOUT_EXIT' THEN 1.0 ELSE 0.0 END)")} AS timeout_exit_rate,
-  {_r('avg(max_scroll_ratio)')} AS avg_scroll_ratio, {_r('avg(duration_ms)')} AS avg_duration_ms, {_r('avg(CAST(duration_ms <= 10000 AS INTEGER))')} AS bounce_ratio FROM s GROUP BY {_P_KEYS}"""
+  {_mean('is_complete')} AS completion_rate, {_mean('is_exit')} AS exit_rate, {_mean("CASE WHEN session_state = 'TIMEOUT_EXIT' THEN 1.0 ELSE 0.0 END")} AS timeout_exit_rate,
+  {_mean('max_scroll_ratio')} AS avg_scroll_ratio, {_mean('duration_ms')} AS avg_duration_ms, {_mean('CAST(duration_ms <= 10000 AS INTEGER)')} AS bounce_ratio FROM s GROUP BY {_P_KEYS}"""
 
 
 def _gap(column: str, name: str, within: str) -> str:
     w = f"OVER (PARTITION BY datetime, {within})"
-    return f"{_r(f'max({column}) {w} - min({column}) {w}')} AS {name}"
+    return f"{_q(_h(f'max({column}) {w}') + ' - ' + _h(f'min({column}) {w}'), '100')} AS {name}"
 
 
 _P_GAPS = ", ".join([_gap("completion_rate", "cross_browser_completion_gap", "platform, device"), _gap("avg_duration_ms", "cross_device_duration_gap", "platform, browser"), _gap("avg_scroll_ratio", "cross_platform_scroll_gap", "device, browser")])
@@ -283,13 +295,13 @@ def platform_daily_metrics(spark, d):
 
 # ---- countries ----------------------------------------------------------------------------------
 _C_BASE = f"""SELECT datetime, country, count(DISTINCT session_id) AS total_sessions, count(DISTINCT user_id) AS unique_users, count(DISTINCT CAST(user_id AS VARCHAR) || '|' || webtoon_id || '|' || episode_id) AS total_episode_views,
-  {_n('sum(is_complete)')} AS complete_sessions, {_n('sum(is_exit)')} AS exit_sessions, {_r('avg(is_complete)')} AS completion_rate, {_r('avg(is_exit)')} AS exit_rate,
-  {_r("avg(CASE WHEN session_state = 'TIMEOUT_EXIT' THEN 1.0 ELSE 0.0 END)", 0)} AS timeout_exit_rate, {_r('avg(max_scroll_ratio)')} AS avg_scroll_ratio, {_r('avg(duration_ms)')} AS avg_duration_ms,
-  {_r('avg(CASE WHEN duration_ms <= 10000 THEN 1.0 ELSE 0.0 END)', 0)} AS bounce_ratio, {_ratio('count(DISTINCT session_id)', 'count(DISTINCT user_id)')} AS sessions_per_user,
+  {_n('sum(is_complete)')} AS complete_sessions, {_n('sum(is_exit)')} AS exit_sessions, {_mean('is_complete')} AS completion_rate, {_mean('is_exit')} AS exit_rate,
+  {_mean("CASE WHEN session_state = 'TIMEOUT_EXIT' THEN 1.0 ELSE 0.0 END", 0)} AS timeout_exit_rate, {_mean('max_scroll_ratio')} AS avg_scroll_ratio, {_mean('duration_ms')} AS avg_duration_ms,
+  {_mean('CASE WHEN duration_ms <= 10000 THEN 1.0 ELSE 0.0 END', 0)} AS bounce_ratio, {_ratio('count(DISTINCT session_id)', 'count(DISTINCT user_id)')} AS sessions_per_user,
   {_ratio("count(DISTINCT CAST(user_id AS VARCHAR) || '|' || webtoon_id || '|' || episode_id)", 'count(DISTINCT user_id)')} AS active_user_depth FROM s GROUP BY datetime, country"""
-_C_ALL = f"""SELECT datetime, {_r('CAST(sum(complete_sessions) AS DOUBLE) / sum(total_sessions)')} AS all_completion, {_r('sum(avg_scroll_ratio * total_sessions) / sum(total_sessions)')} AS all_scroll,
-  {_r('sum(avg_duration_ms * total_sessions) / sum(total_sessions)')} AS all_duration FROM b GROUP BY datetime"""
-_C_INDEX = f"""{_r('completion_rate - all_completion')} AS completion_rate_gap_vs_global, {_ratio('avg_scroll_ratio', 'all_scroll')} AS scroll_depth_index, {_ratio('avg_duration_ms', 'all_duration')} AS avg_duration_index, {_ratio('completion_rate', 'exit_rate')} AS completion_exit_ratio"""
+_C_ALL = f"""SELECT datetime, {_q('sum(complete_sessions)', 'sum(total_sessions)')} AS all_completion, {_q('sum(' + _h('avg_scroll_ratio') + ' * total_sessions)', '(100 * sum(total_sessions))')} AS all_scroll,
+  {_q('sum(' + _h('avg_duration_ms') + ' * total_sessions)', '(100 * sum(total_sessions))')} AS all_duration FROM b GROUP BY datetime"""
+_C_INDEX = f"""{_q('(' + _h('completion_rate') + ' - ' + _h('all_completion') + ')', '100')} AS completion_rate_gap_vs_global, {_ratio('avg_scroll_ratio', 'all_scroll')} AS scroll_depth_index, {_ratio('avg_duration_ms', 'all_duration')} AS avg_duration_index, {_ratio('completion_rate', 'exit_rate')} AS completion_exit_ratio"""
 _C_KEPT = f"""SELECT t.datetime, t.country, count(y.user_id) AS returning_users, {_ratio('count(y.user_id)', 'count(t.user_id)')} AS return_user_ratio, count(t.user_id) - count(y.user_id) AS new_users, {_ratio('(count(t.user_id) - count(y.user_id))', 'count(t.user_id)')} AS new_user_ratio
   FROM (SELECT DISTINCT datetime, country, user_id FROM s) t LEFT JOIN (SELECT DISTINCT CAST(datetime + INTERVAL 1 DAY AS DATE) AS datetime, country, user_id FROM s) y ON y.datetime = t.datetime AND y.country = t.country AND y.user_id = t.user_id GROUP BY t.datetime, t.country"""
 
@@ -315,13 +327,13 @@ def country_daily_metrics(spark, d):
 
 
 # ---- star tables --------------------------------------------------------------------------------
-@query("orders_status_daily", f"SELECT CAST(o_orderdate AS DATE) AS order_date, o_orderstatus, count(*) AS n_orders, {_n('sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END)')} AS n_large, {_r('avg(o_totalprice)')} AS avg_price, count(DISTINCT o_custkey) AS n_customers, count(DISTINCT CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END) AS n_urgent_customers FROM orders GROUP BY 1, 2", date="order_date")
+@query("orders_status_daily", f"SELECT CAST(o_orderdate AS DATE) AS order_date, o_orderstatus, count(*) AS n_orders, {_n('sum(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END)')} AS n_large, {_mean('o_totalprice')} AS avg_price, count(DISTINCT o_custkey) AS n_customers, count(DISTINCT CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END) AS n_urgent_customers FROM orders GROUP BY 1, 2", date="order_date")
 def orders_status_daily(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
     return o.groupBy(F.col("o_orderdate").cast("date").alias("order_date"), "o_orderstatus").agg(F.count("*").alias("n_orders"), F.count_if(F.col("o_totalprice") > 100000).alias("n_large"), mean(F.col("o_totalprice")).alias("avg_price"), F.count_distinct("o_custkey").alias("n_customers"), F.count_distinct(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey"))).alias("n_urgent_customers"))
 
 
-@query("lineitem_left_join_orders", f"SELECT l_returnflag, coalesce(o_orderpriority, 'NONE') AS priority, count(*) AS n_lines, {_r('avg(l_quantity)')} AS avg_quantity FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON l_orderkey = o_orderkey GROUP BY 1, 2", date=None)
+@query("lineitem_left_join_orders", f"SELECT l_returnflag, coalesce(o_orderpriority, 'NONE') AS priority, count(*) AS n_lines, {_mean('l_quantity')} AS avg_quantity FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON l_orderkey = o_orderkey GROUP BY 1, 2", date=None)
 def lineitem_left_join_orders(spark, d):
     lines, o = spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'F'")
     return lines.join(o, lines["l_orderkey"] == o["o_orderkey"], "left").groupBy("l_returnflag", F.coalesce("o_orderpriority", F.lit("NONE")).alias("priority")).agg(F.count("*").alias("n_lines"), mean(F.col("l_quantity")).alias("avg_quantity"))

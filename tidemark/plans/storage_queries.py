@@ -84,7 +84,7 @@ def _totals(df):
 def silver_incremental_equals_full(spark, d):
     """Sessions kept up to date over three batches of events, by state."""
     house = runner.Lakehouse(spark, _root(spark))
-    raw = testbed.raw_events(spark, d)
+    raw = testbed.feed(spark, d)
     for k in (0, 1, 2):
         house.events.append(raw.where(F.col("event_id").cast("long") % 3 == k))
         house.update_sessions(as_of=testbed.as_of())

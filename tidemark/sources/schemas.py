@@ -6,24 +6,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_TYPES = {"INT": T.IntegerType(), "BIGINT": T.LongType(), "STRING": T.StringType(), "DOUBLE": T.DoubleType(), "DATE": T.DateType(), "TIMESTAMP": T.TimestampType(), "BOOLEAN": T.BooleanType()}
 
-def _schema(text: str) -> T.StructType:
-    kinds = {"I": T.IntegerType(), "B": T.LongType(), "S": T.StringType(), "D": T.DoubleType(), "d": T.DateType(), "t": T.TimestampType(), "b": T.BooleanType()}
-    return T.StructType([T.StructField(name, kinds[kind]) for kind, names in (part.split(":") for part in text.split(";")) for name in names.split()])
 
+def _schema(ddl: str) -> T.StructType:
+    """A schema of plain DDL; StructType.fromDDL would need a running session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (column.split() for column in ddl.split(","))])
 
-# Names and types of the tables' columns, as feeds and readers have them.
-EVENT = _schema("S:event_id;I:user_id;S:webtoon_id episode_id session_id utimestamptz local_timestamptz event_type country platform device browser network_type;D:scroll_ratio;I:scroll_event_count;B:dwell_time_ms")
+
+# Names and types of the tables' columns, the states of a session and the bounds that set them, as feeds and readers have them.
+COMPLETE, EXIT, TIMEOUT_EXIT, IN_PROGRESS = "COMPLETE", "EXIT", "TIMEOUT_EXIT", "IN_PROGRESS"
+COMPLETE_RATIO, TIMEOUT_SECONDS, BOUNCE_MS = 0.95, 600, 10000
+EVENT = _schema("""
+    event_id STRING, user_id INT, webtoon_id STRING, episode_id STRING, session_id STRING, utimestamptz STRING,
+    local_timestamptz STRING, event_type STRING, country STRING, platform STRING, device STRING, browser STRING,
+    network_type STRING, scroll_ratio DOUBLE, scroll_event_count INT, dwell_time_ms BIGINT
+""")
+SILVER = _schema("""
+    session_id STRING, user_id INT, webtoon_id STRING, episode_id STRING, platform STRING, country STRING,
+    device STRING, browser STRING, datetime DATE, start_time TIMESTAMP, end_time TIMESTAMP, duration_ms BIGINT,
+    max_scroll_ratio DOUBLE, seen_enter BOOLEAN, seen_scroll BOOLEAN, seen_complete BOOLEAN, seen_exit BOOLEAN,
+    session_state STRING, is_complete INT, is_exit INT
+""")
+USER_DAILY = _schema("""
+    datetime DATE, user_id INT, total_episode_sessions BIGINT, complete_sessions BIGINT, exit_sessions BIGINT,
+    incomplete_sessions BIGINT, avg_scroll_ratio DOUBLE, avg_duration_ms DOUBLE, bounce_ratio DOUBLE,
+    distinct_episode_views BIGINT, distinct_episode_completes BIGINT, completion_rate DOUBLE, exit_rate DOUBLE,
+    multi_episode_read_flag INT, avg_return_interval_sec DOUBLE, repeat_episode_complete_count BIGINT
+""")
+EPISODE_DAILY = _schema("""
+    datetime DATE, webtoon_id STRING, episode_id STRING, total_sessions BIGINT, complete_sessions BIGINT,
+    exit_sessions BIGINT, incomplete_sessions BIGINT, unique_users BIGINT, unique_complete_users BIGINT,
+    unique_exit_users BIGINT, avg_scroll_ratio DOUBLE, avg_duration_ms DOUBLE, completion_rate DOUBLE,
+    exit_rate DOUBLE, timeout_exit_rate DOUBLE, bounce_ratio DOUBLE, scroll_dropoff_point DOUBLE,
+    scroll_bucket_0_20 BIGINT, scroll_bucket_20_40 BIGINT, scroll_bucket_40_60 BIGINT, scroll_bucket_60_80 BIGINT,
+    scroll_bucket_80_100 BIGINT, continued_user_count BIGINT, episode_attractiveness_index DOUBLE
+""")
+TITLE_DAILY = _schema("""
+    datetime DATE, webtoon_id STRING, deepest_episode_reached STRING, total_sessions BIGINT, complete_sessions BIGINT,
+    exit_sessions BIGINT, incomplete_sessions BIGINT, unique_users BIGINT, unique_complete_users BIGINT,
+    unique_exit_users BIGINT, avg_scroll_ratio DOUBLE, avg_duration_ms DOUBLE, completion_rate DOUBLE,
+    exit_rate DOUBLE, timeout_exit_rate DOUBLE, bounce_ratio DOUBLE, scroll_dropoff_point DOUBLE,
+    binge_read_ratio DOUBLE, webtoon_retention_rate DOUBLE
+""")
+PLATFORM_DAILY = _schema("""
+    datetime DATE, platform STRING, device STRING, browser STRING, total_sessions BIGINT, unique_users BIGINT,
+    sessions_per_user DOUBLE, completion_rate DOUBLE, exit_rate DOUBLE, timeout_exit_rate DOUBLE,
+    avg_scroll_ratio DOUBLE, avg_duration_ms DOUBLE, bounce_ratio DOUBLE, cross_browser_completion_gap DOUBLE,
+    cross_device_duration_gap DOUBLE, cross_platform_scroll_gap DOUBLE
+""")
+COUNTRY_DAILY = _schema("""
+    datetime DATE, country STRING, total_sessions BIGINT, unique_users BIGINT, sessions_per_user DOUBLE,
+    completion_rate DOUBLE, exit_rate DOUBLE, timeout_exit_rate DOUBLE, avg_scroll_ratio DOUBLE,
+    avg_duration_ms DOUBLE, bounce_ratio DOUBLE, active_user_depth DOUBLE, returning_users BIGINT,
+    return_user_ratio DOUBLE, new_users BIGINT, new_user_ratio DOUBLE, completion_rate_gap_vs_global DOUBLE,
+    scroll_depth_index DOUBLE, avg_duration_index DOUBLE, completion_exit_ratio DOUBLE
+""")
 BRONZE = T.StructType([*EVENT.fields, T.StructField("datetime", T.DateType())])
 SESSION_KEYS = ["session_id", "user_id", "webtoon_id", "episode_id", "platform", "country", "device", "browser", "datetime"]
-SILVER = _schema("S:session_id;I:user_id;S:webtoon_id episode_id platform country device browser;d:datetime;t:start_time end_time;B:duration_ms;D:max_scroll_ratio;b:seen_enter seen_scroll seen_complete seen_exit;S:session_state;I:is_complete is_exit")
 REQUIRED = ["user_id", "webtoon_id", "episode_id", "datetime", "session_id"]
 UNKNOWN = {"platform": "UNKNOWN", "country": "UNKNOWN", "device": "UNKNOWN", "browser": "UNKNOWN"}
-USER_DAILY = _schema("d:datetime;I:user_id;B:total_episode_sessions complete_sessions exit_sessions incomplete_sessions;D:avg_scroll_ratio avg_duration_ms bounce_ratio;B:distinct_episode_views distinct_episode_completes;D:completion_rate exit_rate;I:multi_episode_read_flag;D:avg_return_interval_sec;B:repeat_episode_complete_count")
-EPISODE_DAILY = _schema("d:datetime;S:webtoon_id episode_id;B:total_sessions complete_sessions exit_sessions incomplete_sessions unique_users unique_complete_users unique_exit_users;D:avg_scroll_ratio avg_duration_ms completion_rate exit_rate timeout_exit_rate bounce_ratio scroll_dropoff_point;B:scroll_bucket_0_20 scroll_bucket_20_40 scroll_bucket_40_60 scroll_bucket_60_80 scroll_bucket_80_100 continued_user_count;D:episode_attractiveness_index")
-TITLE_DAILY = _schema("d:datetime;S:webtoon_id deepest_episode_reached;B:total_sessions complete_sessions exit_sessions incomplete_sessions unique_users unique_complete_users unique_exit_users;D:avg_scroll_ratio avg_duration_ms completion_rate exit_rate timeout_exit_rate bounce_ratio scroll_dropoff_point binge_read_ratio webtoon_retention_rate")
-PLATFORM_DAILY = _schema("d:datetime;S:platform device browser;B:total_sessions unique_users;D:sessions_per_user completion_rate exit_rate timeout_exit_rate avg_scroll_ratio avg_duration_ms bounce_ratio cross_browser_completion_gap cross_device_duration_gap cross_platform_scroll_gap")
-COUNTRY_DAILY = _schema("d:datetime;S:country;B:total_sessions unique_users;D:sessions_per_user completion_rate exit_rate timeout_exit_rate avg_scroll_ratio avg_duration_ms bounce_ratio active_user_depth;B:returning_users;D:return_user_ratio;B:new_users;D:new_user_ratio completion_rate_gap_vs_global scroll_depth_index avg_duration_index completion_exit_ratio")
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

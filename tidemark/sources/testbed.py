@@ -73,3 +73,17 @@ def with_holes(raw: DataFrame) -> DataFrame:
     """Some events without a user or a session."""
     n = F.col("event_id").cast("long")
     return raw.withColumns({"user_id": F.when(n % 23 != 0, F.col("user_id")), "session_id": F.when(n % 29 != 0, F.col("session_id"))})
+
+
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw events as a feed delivers them: some twice, some with holes."""
+    return with_holes(with_repeats(raw_events(spark, sf_dir)))
+
+
+#: The same in SQL, of a table raw, and what is left of it: the latest row of each event that has all it needs.
+FEED_SQL = """
+twice AS (SELECT * FROM raw UNION ALL SELECT * REPLACE (ts + INTERVAL 1 SECOND AS ts) FROM raw WHERE CAST(event_id AS BIGINT) % 10 = 0),
+feed AS (SELECT * REPLACE (CASE WHEN CAST(event_id AS BIGINT) % 23 <> 0 THEN user_id END AS user_id, CASE WHEN CAST(event_id AS BIGINT) % 29 <> 0 THEN session_id END AS session_id) FROM twice),
+latest AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts DESC, session_id DESC, event_type DESC) AS n FROM feed) WHERE n = 1),
+whole AS (SELECT * FROM latest WHERE user_id IS NOT NULL AND webtoon_id IS NOT NULL AND episode_id IS NOT NULL AND datetime IS NOT NULL AND session_id IS NOT NULL)
+"""
