@@ -9,7 +9,7 @@ from ..functions.exprs import mean
 from ..operators import country_daily, episode_daily, platform_daily, sessions, title_daily, user_daily
 from ..sources import schemas, testbed
 from ..sources.schemas import SESSION_KEYS
-from . import storage_queries
+from . import runner, storage_queries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -346,6 +346,33 @@ def events_first_and_next(spark, d):
     return e.select("event_id", F.lag("event_id").over(w).alias("previous_id"), F.lead("event_id").over(w).alias("next_id"))
 
 
+# ---- the daily run over stored tables -------------------------------------------------------------
+_DAY = "2024-01-10"
+
+
+def _house(spark, d) -> runner.Lakehouse:
+    """Stored tables after the sessions job and the daily jobs of a day."""
+    house = runner.Lakehouse(spark, storage_queries.new_root(spark))
+    house.events.append(_feed(spark, d))
+    house.update_sessions(as_of=testbed.as_of())
+    house.update_gold(_DAY, wait_seconds=0)
+    return house
+
+
+@query("daily_run_titles", f"SELECT * FROM ({SQL['title_daily_metrics']}) WHERE datetime = '{_DAY}'", date=None)
+def daily_run_titles(spark, d):
+    """The titles of a day, made from the stored episodes and the stored sessions of two days."""
+    out = _house(spark, d).gold["title_daily_metrics"].read()
+    return out.withColumn("datetime", F.col("datetime").cast("string"))
+
+
+@query("serving_views", f"SELECT s.session_state, count(*) AS n_sessions, count(u.user_id) AS n_with_features, CAST(sum(u.total_episode_sessions) AS BIGINT) AS sum_sessions FROM ({SQL['silver_session_state']}) s LEFT JOIN ({SQL['user_daily_metrics']}) u ON u.datetime = s.datetime AND u.user_id = s.user_id WHERE s.datetime = '{_DAY}' GROUP BY s.session_state", date=None)
+def serving_views(spark, d):
+    """SQL over the views of a day: sessions by state beside the features of their users."""
+    _house(spark, d).views(since=_DAY, until=_DAY)
+    return spark.sql("SELECT s.session_state, count(*) AS n_sessions, count(u.user_id) AS n_with_features, sum(u.total_episode_sessions) AS sum_sessions FROM sessions s LEFT JOIN user_daily_metrics u USING (datetime, user_id) GROUP BY s.session_state")
+
+
 for _name, (_run, _sql, _date) in storage_queries.ALL.items():
     query(_name, _sql, _date)(_run)
 

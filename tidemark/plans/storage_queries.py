@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None, date: str | None = None):
     return add
 
 
-def _root(spark) -> str:
+def new_root(spark) -> str:
     """A new folder for the tables of one run."""
     return f"{checkpoint_root(spark)}/tables-{uuid.uuid4().hex}"
 
@@ -45,18 +45,19 @@ def snapshot_lineage(spark, d):
     return store.lineage(_log(spark), 5)
 
 
-@query("partition_readiness", "SELECT CAST(ts AS DATE) AS datetime, count(*) AS n_rows FROM events GROUP BY 1", "datetime")
+@query("partition_readiness", "SELECT CAST(ts AS DATE) AS datetime, count(*) AS n_rows, count(DISTINCT event_id % 2) AS n_files FROM events GROUP BY 1", "datetime")
 def partition_readiness(spark, d):
-    """Rows (and files, which are left out here) of each day's partition."""
-    table = store.Table(spark, _root(spark), schemas.BRONZE)
-    table.append(testbed.raw_events(spark, d))
-    return runner.partition_stats(table.read()).select("datetime", "n_rows")
+    """Rows and files of each day's partition, after two appends of one file for each day."""
+    table = store.Table(spark, new_root(spark), schemas.BRONZE)
+    for k in (0, 1):
+        table.append(testbed.raw_events(spark, d).where(F.col("event_id").cast("long") % 2 == k).coalesce(1))
+    return runner.partition_stats(table.read())
 
 
 @query("partition_overwrite", "SELECT CAST(ts AS DATE) AS datetime, CASE WHEN CAST(ts AS DATE) = DATE '2024-01-05' THEN count(CASE WHEN event_type = 'view' THEN 1 END) ELSE count(*) END AS n_rows FROM events GROUP BY 1", "datetime")
 def partition_overwrite(spark, d):
     """One day replaced by its enter events; the others stay."""
-    table = store.Table(spark, _root(spark), schemas.BRONZE)
+    table = store.Table(spark, new_root(spark), schemas.BRONZE)
     raw = testbed.raw_events(spark, d)
     table.append(raw)
     table.overwrite_partitions(sessions.on_date(raw, "2024-01-05").where("event_type = 'enter'"))
@@ -69,7 +70,7 @@ _INCREMENT = "SELECT count(*) AS n_rows, count(DISTINCT event_id) AS n_events FR
 @query("incremental_append_scan", _INCREMENT)
 def incremental_append_scan(spark, d):
     """Three appends; what the last one added, read by snapshot."""
-    table = store.Table(spark, _root(spark), schemas.BRONZE)
+    table = store.Table(spark, new_root(spark), schemas.BRONZE)
     raw = testbed.raw_events(spark, d)
     for k in (0, 1, 2):
         table.append(raw.where(F.col("event_id").cast("long") % 3 == k))
@@ -83,7 +84,7 @@ def _totals(df):
 @query("silver_incremental_equals_full")
 def silver_incremental_equals_full(spark, d):
     """Sessions kept up to date over three batches of events, by state."""
-    house = runner.Lakehouse(spark, _root(spark))
+    house = runner.Lakehouse(spark, new_root(spark))
     raw = testbed.feed(spark, d)
     for k in (0, 1, 2):
         house.events.append(raw.where(F.col("event_id").cast("long") % 3 == k))
@@ -94,7 +95,7 @@ def silver_incremental_equals_full(spark, d):
 @query("stream_ingest_available_now", "SELECT event_type, count(*) AS n_events FROM (SELECT CASE event_type WHEN 'view' THEN 'enter' WHEN 'click' THEN 'scroll' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'exit' ELSE event_type END AS event_type FROM events) GROUP BY 1")
 def stream_ingest_available_now(spark, d):
     """The events as JSON files, streamed into a table twice: the second run finds nothing new."""
-    root = _root(spark)
+    root = new_root(spark)
     raw = testbed.raw_events(spark, d)
     raw.select(F.to_json(F.struct(*schemas.EVENT.names)).alias("value")).write.text(f"{root}/in")
     table = store.Table(spark, f"{root}/events", schemas.BRONZE)
@@ -103,7 +104,10 @@ def stream_ingest_available_now(spark, d):
     return table.read().groupBy("event_type").agg(F.count("*").alias("n_events"))
 
 
-@query("simulated_sessions")
+_SIMULATED = {"sessions": 2000, "out_of_order": 0.1, "binge": 0.1}
+
+
+@query("simulated_sessions", simulate.sql(**_SIMULATED))
 def simulated_sessions(spark, d):
-    """Events of 2000 simulated sessions by type."""
-    return simulate.simulate(spark, 2000, out_of_order=0.1, binge=0.1).groupBy("event_type", "country").agg(F.count("*").alias("n_events"), F.round(F.max("scroll_ratio"), 2).alias("max_ratio"))
+    """The events of 2000 simulated readers."""
+    return simulate.simulate(spark, **_SIMULATED)
