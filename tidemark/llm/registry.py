@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.SQL,
     "op2_mix_sources": mix_sources.SQL,
     "op5_warc_revisits": revisits.SQL,
     "op7_license_scan": license_scan.SQL,
