@@ -1,25 +1,26 @@
-"""Language model scoring: interpolated modified Kneser-Ney over word pairs.
-
-Counting. Tasks turn texts into (context, word) pairs of 56-bit word hashes,
-add up what recurs in some MB of text and deal the pairs by a hash of the pair,
-so that a frequent context is no larger a group than any other. Each share of
-the pairs becomes a shard: the pair hashes in order, with their counts; it
-passes on, by word, how many pairs (and tokens) a word ends and how many pairs
-of one, two and more tokens it begins. Each share of the words becomes a shard
-of word hashes in order, with those counts. The driver gets the sums that set
-the discounts, one row for each shard.
+"""Language model scoring: interpolated modified Kneser-Ney of any order.
+
+Counting. Tasks turn texts into word sequences of the order's length, as hashes
+of 56 bits, add up what recurs in some MB of text and deal them by a hash of
+the whole sequence, so that a frequent context is no larger a group than any
+other. Each share becomes a shard: the sequences' hashes in order, with their
+counts. It passes on, to the shares of the next lower order, the sequences
+without their first word, each with the number of different words before it,
+which is what counts there; and for every context the number of its tokens and
+of its sequences of one, two and more. So down to the words. The driver gets
+the sums that set the discounts, one row for each share of the words.
 
 Scoring. Workers memory-map the shards in the shared folder and look up a
-batch's distinct words and pairs in order. With c the pair's count, c(u) the
-context's, D the discount of a count of 1, 2 or more, N_k(u) the number of
-pairs of k (3: or more) tokens that u begins, and e(w) that of pairs which w
-ends:
+batch's distinct words, sequences and contexts in order. With c a sequence's
+count at its order, c(h) its context's, D the order's discount of a count of 1,
+2 or more, N_k(h) the number of sequences of k (3: or more) tokens that h
+begins, and h' the context without its first word:
 
-    P(w|u) = (c - D(c)) / c(u) + sum_k D(k) N_k(u) / c(u) * P(w)
-    P(w) = (e(w) - D'(e(w))) / sum e + sum_k D'(k) N'_k / sum e * 1 / (V + 1)
+    P(w|h) = (c - D(c)) / c(h) + sum_k D(k) N_k(h) / c(h) * P(w|h')
 
-so that the probabilities of the V known words (the end is one) and of one
-unknown word sum to 1 in every context; in a context never seen it is P(w).
+in a context never seen it is P(w|h'); without a context c(h) is the sum of all
+counts and P(w|h') is 1 / (V + 1), so that the probabilities of the V known
+words (the end is one) and of one unknown word sum to 1 in every context.
 """
 
 from __future__ import annotations
@@ -38,23 +39,27 @@ from . import words as W
 U = W.U
 _KEEP = U(0xFFFFFFFFFFFFFF00)  # 56 bits
 BEGIN, END = U(0x0101010101010100), U(0xFEFEFEFEFEFEFE00)
-#: Text counted at once, and pairs in a share at most, about.
-TEXT_BYTES, SHARE_PAIRS = 12 << 20, 2_000_000
+#: Text counted at once, and sequences in a share at most, about; word shares are fewer, by this much.
+TEXT_BYTES, SHARE_GRAMS, FEWER_WORDS = 12 << 20, 2_000_000, 8
 _ROWS = "share int, kind int, n int, blob binary"
 _SCHEMA = pa.schema([("share", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
+#: Kinds of rows: sequences, contexts of the order above, words with their tokens, sums.
+_GRAMS, _CONTEXTS, _TOKENS, _SUMS = 0, 1, 2, 3
+#: Of each order: sequences, the sum of their counts, those with counts 1, 2, 3, 4, and 3 or more.
+_STATS = 7
 
 
 @dataclass
 class Model:
     folder: str
-    shares: int
+    order: int
+    shares: list[int]  # by order, the words' first
     tokens: int = 0
     types: int = 0
-    pairs: int = 0
-    texts: int = 0
-    pair_discounts: list[float] = field(default_factory=lambda: [0.0] * 4)
-    word_discounts: list[float] = field(default_factory=lambda: [0.0] * 4)
-    word_classes: list[int] = field(default_factory=lambda: [0] * 4)
+    stats: list[list[int]] = field(default_factory=list)  # by order
+
+    def discounts(self, order: int) -> list[float]:
+        return _discounts(*self.stats[order - 1][2:6])
 
 
 def _share(h: np.ndarray, shares: int) -> np.ndarray:
@@ -76,10 +81,18 @@ def _unseven(blob, n: int) -> np.ndarray:
     return np.ascontiguousarray(out.T).view(U).reshape(n)
 
 
-def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context hashes, token hashes, first token of each text and the end); each text's last token is the end."""
+def _hash(words: list[np.ndarray]) -> np.ndarray:
+    """Of a sequence: the hash of what comes before its last word, with that word."""
+    out = words[0]
+    for w in words[1:]:
+        out = _pair(out, w)
+    return out
+
+
+def tokens(texts, order: int = 2) -> tuple[list[np.ndarray], np.ndarray]:
+    """(hashes of each token with the order - 1 before it, the token last; first token of each text and the end). A text's last token is the end; before its first there are beginnings."""
     data, offsets = W.buffers(texts)
-    word, context, firsts = [], [], [0]
+    word, firsts = [], [0]
     for i, j in W.batches(data, offsets):
         piece = W.LOWER[data[offsets[i] : offsets[j]]]
         s, e, f = W.word_spans(piece, offsets[i : j + 1] - offsets[i], W.SPACED)
@@ -90,35 +103,53 @@ def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.ones(len(w), bool)
         at[last] = False
         w[at] = h
-        u = np.empty(len(w), U)
-        u[1:] = w[:-1]
-        u[np.concatenate([[0], last[:-1] + 1])] = BEGIN
         word.append(w)
-        context.append(u)
         firsts += (last + 1 + firsts[-1]).tolist()
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, U)
-    return cat(context), cat(word), np.array(firsts, np.int64)
+    w, firsts = np.concatenate(word) if word else np.zeros(0, U), np.array(firsts, np.int64)
+    columns = [w]
+    place = np.arange(len(w)) - np.repeat(firsts[:-1], np.diff(firsts))
+    for k in range(1, order):
+        before = np.full(len(w), BEGIN, U)
+        before[k:] = w[:-k] if len(w) > k else w[:0]
+        columns.insert(0, np.where(place >= k, before, BEGIN))
+    return columns, firsts
+
+
+def _added(columns: list[np.ndarray], key: np.ndarray, values: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Rows of equal key as one, in the order of keys, with the sums of their values."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    return [c[order][at] for c in columns], key[at], [np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values]
+
+
+def _grams(columns: list[np.ndarray], key: np.ndarray, count: np.ndarray, shares: int) -> list[tuple]:
+    """Rows of sequences by share; within one in the order of their first word, which then packs well."""
+    share = _share(key, shares)
+    order = np.lexsort((columns[0], share))
+    columns, count, share = [c[order] for c in columns], count[order], share[order]
+    cuts = np.searchsorted(share, np.arange(shares + 1)).tolist()
+    return [(k, _GRAMS, b - a, W.pack(columns[0][a:b]) + b"".join(_seven(c[a:b]) for c in columns[1:]) + W.planes(count[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+
+
+def _values(kind: int, key: np.ndarray, values: list[np.ndarray], shares: int) -> list[tuple]:
+    """Rows of ascending keys with their values, by share."""
+    cuts = np.searchsorted(_share(key, shares), np.arange(shares + 1)).tolist()
+    return [(k, kind, b - a, W.pack(key[a:b]) + b"".join(W.pack_any(v[a:b]) for v in values)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
 
 
-def _sum_by(order: np.ndarray, new: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values[order], np.flatnonzero(new)) if len(order) else values[:0]
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_SCHEMA.types)], schema=_SCHEMA)
 
 
-def _count(shares: int):
+def _count(order: int, shares: int):
     def emit(texts):
         W.release()
-        u, w, _ = tokens(pa.chunked_array(texts))
-        share = _share(_pair(u, w), shares)
-        order = np.lexsort((w, u, share))
-        u, w, share = u[order], w[order], share[order]
-        new = np.ones(len(u), bool)
-        new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
-        at = np.flatnonzero(new)
-        c = np.diff(np.append(at, len(u)))
-        u, w, share = u[at], w[at], share[at]
-        cuts = np.searchsorted(share, np.arange(shares + 1))
-        rows = [(k, 0, b - a, W.pack(u[a:b]) + _seven(w[a:b]) + W.planes(c[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_SCHEMA.types)], schema=_SCHEMA)
+        columns, _ = tokens(pa.chunked_array(texts), order)
+        columns, key, (count,) = _added(columns, _hash(columns), [np.ones(len(columns[0]), np.int64)])
+        return _batch(_grams(columns, key, count, shares))
 
     def run(batches):
         held, size = [], 0
@@ -134,74 +165,62 @@ def _count(shares: int):
     return run
 
 
-def _pairs_shard(folder: str, shares: int):
-    """Write a shard of pairs; pass on what its words begin and end."""
+def _read_values(table: pa.Table, kind: int, parts: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The keys and added values of all rows of a kind."""
+    keys, values = [np.zeros(0, U)], [[np.zeros(0, np.int64)] for _ in range(parts)]
+    rows = table.filter(pa.array(table.column("kind").to_numpy() == kind))
+    for n, blob in zip(rows.column("n").to_pylist(), rows.column("blob"), strict=True):
+        b = blob.as_buffer()
+        keys.append(W.unpack(b[: 8 * n], n))
+        for i in range(parts):
+            values[i].append(W.unpack_any(b[8 * n * (1 + i) : 8 * n * (2 + i)], n))
+    _, key, values = _added([], np.concatenate(keys), [np.concatenate(v) for v in values])
+    return key, values
 
-    def run(table: pa.Table) -> pa.Table:
-        W.release()
-        share = table.column("share")[0].as_py()
-        us, ws, cs = [], [], []
-        for n, blob in zip(table.column("n").to_pylist(), table.column("blob"), strict=True):
-            b = blob.as_buffer()
-            us.append(W.unpack(b[: 8 * n], n))
-            ws.append(_unseven(b[8 * n : 15 * n], n))
-            cs.append(W.unplanes(b[15 * n :], n))
-        u, w, c = np.concatenate(us), np.concatenate(ws), np.concatenate(cs).astype(np.int64)
-        key = _pair(u, w)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        at = np.flatnonzero(new)
-        total = np.add.reduceat(c[order], at)
-        key, u, w = key[at], u[order][at], w[order][at]
-        big = total >= 255
-        shared.save(f"{folder}/pairs-{share}", {"key": key, "count": np.minimum(total, 255).astype(np.uint8), "big_key": key[big], "big_count": total[big]})
-        rows = [(share, 3, 5, np.array([len(key), *[(total == k).sum() for k in (1, 2, 3, 4)]], np.int64).tobytes())]
-        for kind, h, parts in ((1, w, [np.ones(len(w), np.int64), total]), (2, u, [total == 1, total == 2, total >= 3])):
-            order = np.argsort(h, kind="stable")
-            s = h[order]
-            new = np.ones(len(s), bool)
-            new[1:] = s[1:] != s[:-1]
-            sums = [_sum_by(order, new, p.astype(np.int64)) for p in parts]
-            s = s[new]
-            cuts = np.searchsorted(_share(s, shares), np.arange(shares + 1))
-            for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                if b > a:
-                    rows.append((k, kind, b - a, W.pack(s[a:b]) + b"".join(W.pack_any(x[a:b]) for x in sums)))
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_SCHEMA.types)], schema=_SCHEMA)
 
-    return run
-
-
-def _words_shard(folder: str):
-    """Write a shard of words; return the sums that set the discounts."""
+def _shard(folder: str, level: int, order: int, shares: list[int]):
+    """Write a shard of the sequences of one length, and of the contexts of the length above; pass on what the shorter ones need."""
 
     def run(table: pa.Table) -> pa.Table:
+        W.release()
         share = table.column("share")[0].as_py()
-        got = {1: [], 2: []}
-        stats = np.zeros(5, np.int64)
-        for kind, n, blob in zip(table.column("kind").to_pylist(), table.column("n").to_pylist(), table.column("blob"), strict=True):
+        kinds = table.column("kind").to_numpy()
+        sums = np.zeros((order, _STATS), np.int64)
+        for blob in table.filter(pa.array(kinds == _SUMS)).column("blob"):
+            sums += np.frombuffer(blob.as_buffer(), np.int64).reshape(order, _STATS)
+        columns, counts = [[np.zeros(0, U)] for _ in range(level)], [np.zeros(0, np.int64)]
+        grams = table.filter(pa.array(kinds == _GRAMS))
+        for n, blob in zip(grams.column("n").to_pylist(), grams.column("blob"), strict=True):
             b = blob.as_buffer()
-            if kind == 3:
-                stats += np.frombuffer(b, np.int64)
-                continue
-            parts = 2 if kind == 1 else 3
-            got[kind].append((W.unpack(b[: 8 * n], n), [W.unpack_any(b[8 * n * (1 + i) : 8 * n * (2 + i)], n) for i in range(parts)]))
-        words = np.unique(np.concatenate([x for k in (1, 2) for x, _ in got[k]] or [np.zeros(0, U)]))
-        cols = np.zeros((5, len(words)), np.int64)  # ends: pairs, tokens; begins: pairs of 1, 2, 3 and more
-        for kind, first in ((1, 0), (2, 2)):
-            for h, parts in got[kind]:  # a word is once in each
-                at = np.searchsorted(words, h)
-                for i, p in enumerate(parts):
-                    cols[first + i][at] += p
-        shared.save(f"{folder}/words-{share}", {"word": words, "ends": cols[0].astype(np.uint32), "count": cols[1], "begins": cols[2:].T.astype(np.uint32)})
-        known = cols[0] > 0
-        texts = int(cols[1][np.searchsorted(words, END)]) if (words == END).any() else 0
-        classes = [int((cols[0] == k).sum()) for k in (1, 2, 3, 4)]
-        more = int((cols[0] >= 3).sum())
-        out = np.array([*stats, cols[1].sum(), known.sum(), texts, *classes, more], np.int64)
-        return pa.table({"stats": pa.array([out.tolist()], pa.list_(pa.int64()))})
+            columns[0].append(W.unpack(b[: 8 * n], n))
+            for i in range(1, level):
+                columns[i].append(_unseven(b[(1 + 7 * i) * n : (8 + 7 * i) * n], n))
+            counts.append(W.unplanes(b[(1 + 7 * level) * n :], n).astype(np.int64))
+        columns, count = [np.concatenate(c) for c in columns], np.concatenate(counts)
+        columns, key, (count,) = _added(columns, _hash(columns), [count])
+        sums[level - 1] += [len(key), count.sum(), *[(count == k).sum() for k in (1, 2, 3, 4)], (count >= 3).sum()]
+        if level < order:
+            context, (total, *some) = _read_values(table, _CONTEXTS, 4)
+            shared.save(f"{folder}/contexts-{level + 1}-{share}", {"key": context, "total": total, "some": np.stack(some, 1).astype(np.uint32)})
+        if level == order:
+            word, _, (token,) = _added([columns[-1]], columns[-1], [count])
+            word = word[0]
+        else:
+            word, (token,) = _read_values(table, _TOKENS, 1)
+        if level == 1:
+            at = np.searchsorted(word, key)  # every word that ends a sequence is a token
+            shared.save(f"{folder}/words-{share}", {"word": key, "ends": count.astype(np.uint32), "count": token[at]})
+            return pa.table({"stats": pa.array([[*sums.reshape(-1).tolist(), int(token.sum()), len(word)]], pa.list_(pa.int64()))})
+        big = count >= 255
+        shared.save(f"{folder}/grams-{level}-{share}", {"key": key, "count": np.minimum(count, 255).astype(np.uint8), "big_key": key[big], "big_count": count[big]})
+        below = shares[level - 2]
+        _, context, values = _added([], _hash(columns[:-1]), [count, *[(x).astype(np.int64) for x in (count == 1, count == 2, count >= 3)]])
+        rows = _values(_CONTEXTS, context, values, below)
+        del context, values
+        tail, key, (before,) = _added(columns[1:], _hash(columns[1:]), [np.ones(len(key), np.int64)])
+        rows += _grams(tail, key, before, below) + _values(_TOKENS, word, [token], below)
+        rows.append((share % below, _SUMS, 1, sums.tobytes()))
+        return pa.Table.from_batches([_batch(rows)])
 
     return run
 
@@ -214,24 +233,24 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [0.0] + [min(max(k - (k + 1) * y * b / a, 0.05 * k), 0.95 * k) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
 
-def train(texts: DataFrame, text_col: str = "text") -> Model:
+def train(texts: DataFrame, text_col: str = "text", order: int = 2) -> Model:
     """Count every row of texts (null: empty) into shards in the shared folder."""
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     spark = texts.sparkSession
     shared.prepare(spark)
     texts = texts.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     total = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    shares = max(1, math.ceil(total / 8 / SHARE_PAIRS), min(32, math.ceil(total / 1e6)))
-    model = Model(shared.new_folder(spark, "ngram"), shares)
-    counted = texts.mapInArrow(_count(shares), _ROWS)
-    passed = counted.groupBy("share").applyInArrow(_pairs_shard(model.folder, shares), _ROWS)
-    stats = passed.groupBy("share").applyInArrow(_words_shard(model.folder), "stats array<long>")
-    sums = [0] * 13
-    for row in stats.toLocalIterator():  # one row for each share
-        sums = [a + b for a, b in zip(sums, row["stats"], strict=True)]
-    model.pairs, model.tokens, model.types, model.texts = sums[0], sums[5], sums[6], sums[7]
-    model.pair_discounts = _discounts(*sums[1:5])
-    model.word_discounts = _discounts(*sums[8:12])
-    model.word_classes = [0, sums[8], sums[9], sums[12]]
+    most = max(1, math.ceil(total / 8 / SHARE_GRAMS), min(32, math.ceil(total / 1e6)))
+    model = Model(shared.new_folder(spark, "ngram"), order, [max(1, math.ceil(most / FEWER_WORDS)), *[most] * (order - 1)])
+    rows = texts.mapInArrow(_count(order, most), _ROWS)
+    for level in range(order, 0, -1):
+        rows = rows.groupBy("share").applyInArrow(_shard(model.folder, level, order, model.shares), _ROWS if level > 1 else "stats array<long>")
+    sums = np.zeros(order * _STATS + 2, np.int64)
+    for row in rows.collect():  # one row for each share of the words
+        sums += np.array(row["stats"], np.int64)
+    model.stats = sums[:-2].reshape(order, _STATS).tolist()
+    model.tokens, model.types = (int(x) for x in sums[-2:])
     return model
 
 
@@ -250,66 +269,70 @@ class _Reader:
                 self.maps[key] = np.zeros(0, of)
         return self.maps[key]
 
-    def _each(self, h: np.ndarray):
-        cuts = np.searchsorted(_share(h, self.model.shares), np.arange(self.model.shares + 1))
+    def _found(self, kind: str, name: str, level: int, h: np.ndarray):
+        """(share, places in it, places in h) of what is found of ascending hashes."""
+        shares = self.model.shares[level - 1]
+        cuts = np.searchsorted(_share(h, shares), np.arange(shares + 1))
         for k in np.flatnonzero(np.diff(cuts)).tolist():
-            yield k, slice(cuts[k], cuts[k + 1])
-
-    @staticmethod
-    def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return at, keys[at] == h
-
-    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ends, count, begins) of ascending hashes."""
-        ends, count, begins = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros((len(h), 3), np.int64)
-        for k, part in self._each(h):
-            at, ok = self._find(self._map("words", k, "word", U), h[part])
-            i = np.flatnonzero(ok) + part.start
-            at = at[ok]
-            if len(i):
-                ends[i] = self._map("words", k, "ends", np.uint32)[at]
-                count[i] = self._map("words", k, "count", np.int64)[at]
-                begins[i] = self._map("words", k, "begins", np.uint32).reshape(-1, 3)[at]
-        return ends, count, begins
-
-    def pairs(self, key: np.ndarray) -> np.ndarray:
+            keys = self._map(kind, k, name, U)
+            if len(keys):
+                part = h[cuts[k] : cuts[k + 1]]
+                at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
+                ok = keys[at] == part
+                yield k, at[ok], np.flatnonzero(ok) + cuts[k]
+
+    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(different words before, tokens) of ascending word hashes."""
+        ends, count = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        for k, at, i in self._found("words", "word", 1, h):
+            ends[i] = self._map("words", k, "ends", np.uint32)[at]
+            count[i] = self._map("words", k, "count", np.int64)[at]
+        return ends, count
+
+    def contexts(self, level: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, sequences of 1, 2, more) of the contexts of a sequence length."""
+        total, some = np.zeros(len(h), np.int64), np.zeros((len(h), 3), np.int64)
+        for k, at, i in self._found(kind := f"contexts-{level}", "key", level - 1, h):
+            total[i] = self._map(kind, k, "total", np.int64)[at]
+            some[i] = self._map(kind, k, "some", np.uint32).reshape(-1, 3)[at]
+        return total, some
+
+    def grams(self, level: int, key: np.ndarray) -> np.ndarray:
         count = np.zeros(len(key), np.int64)
-        for k, part in self._each(key):
-            at, ok = self._find(self._map("pairs", k, "key", U), key[part])
-            i = np.flatnonzero(ok) + part.start
-            if len(i):
-                count[i] = self._map("pairs", k, "count", np.uint8)[at[ok]]
-                if (many := i[count[i] == 255]).size:
-                    big, _ = self._find(self._map("pairs", k, "big_key", U), key[many])
-                    count[many] = self._map("pairs", k, "big_count", np.int64)[big]
+        for k, at, i in self._found(kind := f"grams-{level}", "key", level, key):
+            count[i] = self._map(kind, k, "count", np.uint8)[at]
+            if (many := i[count[i] == 255]).size:
+                big = np.searchsorted(self._map(kind, k, "big_key", U), key[many])
+                count[many] = self._map(kind, k, "big_count", np.int64)[big]
         return count
 
     def score(self, texts) -> dict[str, np.ndarray]:
         m = self.model
-        u, w, firsts = tokens(texts)
-        n = np.diff(firsts)
-        words, at = np.unique(np.concatenate([w, u]), return_inverse=True)
-        ends, count, begins = self.words(words)
-        at_w, at_u = at[: len(w)], at[len(w) :]
-        d, dw = np.array(m.pair_discounts), np.array(m.word_discounts)
+        columns, firsts = tokens(texts, m.order)
+        w, n = columns[-1], np.diff(firsts)
+        words, at = np.unique(w, return_inverse=True)
+        ends, count = self.words(words)
         uniform = 1 / (m.types + 1)
-        if m.pairs:
-            rest = sum(dw[k] * m.word_classes[k] for k in (1, 2, 3)) / m.pairs
-            lower = np.maximum(ends - dw[np.minimum(ends, 3)], 0) / m.pairs + rest * uniform
+        if everything := m.stats[0][1]:
+            d = np.array(m.discounts(1))
+            one, two, more = m.stats[0][2], m.stats[0][3], m.stats[0][6]
+            lower = np.maximum(ends - d[np.minimum(ends, 3)], 0) / everything + (d[1] * one + d[2] * two + d[3] * more) / everything * uniform
         else:
             lower = np.full(len(words), uniform)
-        seen = np.where(words == BEGIN, m.texts, np.where(words == END, 0, count))
-        back = np.where(seen > 0, begins @ d[1:], 1.0) / np.maximum(seen, 1)
-        key, at = np.unique(_pair(u, w), return_inverse=True)
-        c = self.pairs(key)[at]
-        p = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(seen[at_u], 1) + back[at_u] * lower[at_w]
+        p = lower[at]
+        for level in range(2, m.order + 1):
+            d = np.array(m.discounts(level))
+            h = _hash(columns[-level:-1])
+            key, of = np.unique(_pair(h, w), return_inverse=True)
+            c = self.grams(level, key)[of]
+            context, of = np.unique(h, return_inverse=True)
+            total, some = self.contexts(level, context)
+            back = np.where(total > 0, some @ d[1:], 1.0) / np.maximum(total, 1)
+            p = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total[of], 1) + back[of] * p
         text = np.repeat(np.arange(len(n)), n)
         add = lambda x: np.bincount(text, x, len(n))
         base = np.log10((count + 1) / (m.tokens + m.types + 1))
-        return {"n_tokens": n, "n_known": add((count > 0)[at_w]).astype(np.int64), "base_score": add(base[at_w]), "score": add(np.log10(p))}
+        return {"n_tokens": n, "n_known": add((count > 0)[at]).astype(np.int64), "base_score": add(base[at]), "score": add(np.log10(p))}
 
 
 _readers: dict[str, _Reader] = {}
