@@ -39,8 +39,8 @@ from . import words as W
 U = W.U
 _KEEP = U(0xFFFFFFFFFFFFFF00)  # 56 bits
 BEGIN, END = U(0x0101010101010100), U(0xFEFEFEFEFEFEFE00)
-#: Text counted at once, and sequences in a share at most, about; word shares are fewer, by this much.
-TEXT_BYTES, SHARE_GRAMS, FEWER_WORDS = 12 << 20, 2_000_000, 8
+#: Text counted at once, and sequences in a share at most, about; word shares, which get a value of many sequences at once, are fewer by this much.
+TEXT_BYTES, SHARE_GRAMS, FEWER_WORDS = 12 << 20, 1_000_000, 2
 _ROWS = "share int, kind int, n int, blob binary"
 _SCHEMA = pa.schema([("share", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
 #: Kinds of rows: sequences, contexts of the order above, words with their tokens, sums.
@@ -166,15 +166,15 @@ def _count(order: int, shares: int):
 
 
 def _read_values(table: pa.Table, kind: int, parts: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The keys and added values of all rows of a kind."""
-    keys, values = [np.zeros(0, U)], [[np.zeros(0, np.int64)] for _ in range(parts)]
+    """The keys and added values of all rows of a kind; a key is once in each row."""
     rows = table.filter(pa.array(table.column("kind").to_numpy() == kind))
-    for n, blob in zip(rows.column("n").to_pylist(), rows.column("blob"), strict=True):
-        b = blob.as_buffer()
-        keys.append(W.unpack(b[: 8 * n], n))
+    rows = [(n, blob.as_buffer()) for n, blob in zip(rows.column("n").to_pylist(), rows.column("blob"), strict=True)]
+    key = np.unique(np.concatenate([np.zeros(0, U), *[W.unpack(b[: 8 * n], n) for n, b in rows]]))
+    values = [np.zeros(len(key), np.int64) for _ in range(parts)]
+    for n, b in rows:
+        at = np.searchsorted(key, W.unpack(b[: 8 * n], n))
         for i in range(parts):
-            values[i].append(W.unpack_any(b[8 * n * (1 + i) : 8 * n * (2 + i)], n))
-    _, key, values = _added([], np.concatenate(keys), [np.concatenate(v) for v in values])
+            values[i][at] += W.unpack_any(b[8 * n * (1 + i) : 8 * n * (2 + i)], n)
     return key, values
 
 
@@ -197,6 +197,7 @@ def _shard(folder: str, level: int, order: int, shares: list[int]):
                 columns[i].append(_unseven(b[(1 + 7 * i) * n : (8 + 7 * i) * n], n))
             counts.append(W.unplanes(b[(1 + 7 * level) * n :], n).astype(np.int64))
         columns, count = [np.concatenate(c) for c in columns], np.concatenate(counts)
+        del grams, counts
         columns, key, (count,) = _added(columns, _hash(columns), [count])
         sums[level - 1] += [len(key), count.sum(), *[(count == k).sum() for k in (1, 2, 3, 4)], (count >= 3).sum()]
         if level < order:
