@@ -37,3 +37,28 @@ def test_tables_of_a_scope_go(spark):
     assert found.count() == 10
     left = set(os.listdir(root)) - before
     assert len(left) == 1 and next(iter(left)).startswith("components-")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hot_buckets_groups_and_centres(docs, monkeypatch, seed):
+    """A large class in the buckets of others, many exact copies, centres of many: as by brute force."""
+    from test_text_ops import plain_classes
+
+    from tidemark.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "HOT", 4)
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base)) for i in range(25)]
+    for i in range(25, 70):  # from near the base to half of it
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 6, 12])):
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    for k in range(6):  # families that share half of their words with the base
+        other = base[:60] + [f"f{k}_{i}" for i in range(60)]
+        rows += [(100 + 10 * k + j, " ".join(other[:-j] + [f"y{k}_{j}_{i}" for i in range(j)] if j else other)) for j in range(4)]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs(rows)).collect()}
+    assert got == plain_classes(rows)

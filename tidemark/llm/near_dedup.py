@@ -13,9 +13,9 @@ Texts that are equal in words are one node. Bands of ROWS coordinates join the
 nodes: each member of a band's bucket is paired with the bucket's smallest
 node, never with all. Pairs whose signatures agree too seldom fall out, the
 others are compared exactly. Where a bucket then still holds several classes,
-blocks of its members of bounded size are compared with each other, by
-signature and then exactly, and give at most one pair for each member: those
-that join classes. Classes are the connected components of the pairs that are
+the members outside its first class are compared with each other and with that
+class, in blocks of bounded size, by signature and then exactly; a block gives
+at most one pair for each member: those that join classes. Classes are the connected components of the pairs that are
 similar enough.
 """
 
@@ -42,8 +42,10 @@ K = BANDS * ROWS
 ERRORS = 4.5
 #: Rows of a bucket that one task compares with as many others.
 BLOCK = 1000
-#: Rows of a table of pairs or ids that may be broadcast (16 bytes each).
-BROADCAST_ROWS = 1_000_000
+#: Rows of a table of pairs or ids that may be broadcast (16 bytes each), and bytes of a table of texts or signatures.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: A key with more rows than this is joined apart, by a broadcast of what it meets; there are no more such keys than rows, divided by it.
+HOT = 20_000
 
 
 def cells(texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,6 +204,17 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _meet(rows: DataFrame, table: DataFrame, key: str, column: str, hot: DataFrame) -> DataFrame:
+    """rows with the row of table of their key; rows of a hot key (hot: the key alone, few) are not brought together if what they meet is small enough to broadcast."""
+    if not hot.limit(1).count():
+        return rows.join(table, key)
+    met = table.join(F.broadcast(hot), key, "left_semi")
+    if (met.agg(F.sum(F.octet_length(column))).first()[0] or 0) > BROADCAST_BYTES:
+        return rows.join(table, key)  # left to the adaptive split of skewed joins
+    cold = rows.join(F.broadcast(hot), key, "left_anti")
+    return rows.join(F.broadcast(met), key).unionByName(cold.join(table, key))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, class_id, n_copies): the smallest id of each row's class, and the number of rows that are equal to it in words.
 
@@ -229,7 +242,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_c
     sigs = lambda c: reps.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
     error = math.sqrt(threshold * (1 - threshold) / K)
     least = math.floor(K * (threshold - ERRORS * error))
-    likely = stars.join(sigs("u"), "u").join(sigs("v"), "v").where(_agree("sig_u", "sig_v") >= least).select("u", "v")
+    stars = shared.written(stars, "stars")
+    hot = _small(stars.groupBy("u").count().where(F.col("count") > HOT).select("u"))
+    likely = _meet(stars, sigs("u"), "u", "sig_u", hot).join(sigs("v"), "v").where(_agree("sig_u", "sig_v") >= least).select("u", "v")
     known = shared.written(_verified(likely, texts, threshold, size), "pairs")
     # a document with several texts ties their groups
     ties = live.join(groups, ["k1", "k2"]).where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).join(live.groupBy("id").count().where("count > 1").select(F.col("id").alias("v")), "v", "left_semi").select("u", "v")
@@ -238,9 +253,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_c
     extra = shared.written(_rest(members, reps, classes, texts, size, threshold, least), "pairs")
     if extra.limit(1).count():
         classes = shared.written(components(known.unionByName(extra.select("u", "v"))), "classes")
-    by_group = groups.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"), "n_copies")
+    by_group = shared.written(groups.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"), "n_copies"), "classes")
     tagged = signed.withColumn("whole", F.col("id").isNotNull() & F.col("sig").isNotNull())
-    found = tagged.where("whole").join(by_group, ["k1", "k2"]).select(F.col("id").alias(id_col), "class_id", "n_copies")
+    found = tagged.where("whole").select("id", "k1", "k2")
+    copied = _small(by_group.where(F.col("n_copies") > HOT))
+    if copied.limit(1).count():  # a text that many rows hold is no group of a join
+        few = found.join(copied.select("k1", "k2"), ["k1", "k2"], "left_anti").join(by_group.where(F.col("n_copies") <= HOT), ["k1", "k2"])
+        found = found.join(copied, ["k1", "k2"]).unionByName(few)
+    else:
+        found = found.join(by_group, ["k1", "k2"])
+    found = found.select(F.col("id").alias(id_col), "class_id", "n_copies")
     alone = tagged.where("not whole").select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
     return found.unionByName(alone)
 
@@ -252,7 +274,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -
     needed = texts.where("id is not null").join(_small(shared.written(ids, "ids")), "id", "left_semi")
     needed = shared.written(needed, "texts")
     side = lambda c: needed.select(F.col("id").alias(c), F.col("t").alias(f"t_{c}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "t_u", "t_v")
+    hot = _small(pairs.groupBy("u").count().where(F.col("count") > HOT).select("u"))
+    both = _meet(pairs, side("u"), "u", "t_u", hot).join(side("v"), "v").select("u", "v", "t_u", "t_v")
     return both.mapInArrow(_similar(size, threshold), "u long, v long, similarity double")
 
 
@@ -261,12 +284,17 @@ def _rest(members: DataFrame, reps: DataFrame, classes: DataFrame, texts: DataFr
     comp = classes.select("node", F.col("component").alias("comp"))
     tagged = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).where("node > center")
     several = tagged.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a < b")
-    blocks = several.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = tagged.join(blocks, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = shared.written(rows.select("key", "blocks", "part", "node", "comp"), "rest")
+    # parts 0 to first - 1 hold the class a, which is compared with the others only; the rest are all compared
+    size_of = tagged.join(several.select("key", "a"), "key").groupBy("key", "a").agg(F.count_if(F.col("comp") == F.col("a")).alias("n_first"), F.count("*").alias("n"))
+    blocks = size_of.select("key", "a", F.ceil(F.col("n_first") / BLOCK).cast("int").alias("first"), F.ceil((F.col("n") - F.col("n_first")) / BLOCK).cast("int").alias("others"))
+    h = F.xxhash64("node")
+    part = F.when(F.col("comp") == F.col("a"), F.pmod(h, F.col("first"))).otherwise(F.col("first") + F.pmod(h, F.col("others"))).cast("int")
+    rows = tagged.join(blocks, "key").withColumn("part", part)
+    rows = shared.written(rows.select("key", "first", "others", "part", "node", "comp"), "rest")
     ids = rows.select(F.col("node").alias("id")).distinct()
     needed = texts.where("id is not null").join(_small(shared.written(ids, "ids")), "id", "left_semi").select(F.col("id").alias("node"), "t").join(reps, "node")
-    dealt = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    start = F.when(F.col("part") < F.col("first"), F.col("first")).otherwise(F.lit(0))
+    dealt = rows.withColumn("k", F.explode(F.sequence(start, F.col("first") + F.col("others") - 1)))
     dealt = dealt.select("key", F.least("part", "k").cast("int").alias("i"), F.greatest("part", "k").cast("int").alias("j"), "part", "node", "comp")
     return dealt.join(shared.written(needed, "texts"), "node").groupBy("key", "i", "j").applyInArrow(_block_links(size, threshold, least), "u long, v long").distinct()
 
