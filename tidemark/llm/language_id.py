@@ -190,7 +190,7 @@ def identify(df: DataFrame, model: Model, text: Column, declared: Column | None
     none = F.lit(None).cast("string")
     keys = {"__declared": declared, "__host": host, "__domain": domain, "__suffix": suffix}
     keys = {k: F.lower(v.cast("string")) if v is not None else none for k, v in keys.items()}
-    rows = df.select(*kept, *[v.alias(k) for k, v in keys.items()], F.rlike(F.coalesce(text, F.lit("")), F.lit(r"\p{L}")).alias("__letters"), likelihoods(text, model).alias("__ll"))
+    rows = df.select(F.struct(*kept).alias("__row"), *[v.alias(k) for k, v in keys.items()], F.rlike(F.coalesce(text, F.lit("")), F.lit(r"\p{L}")).alias("__letters"), likelihoods(text, model).alias("__ll"))
     rows = shared.written(rows.withColumn("__text", F.array_position("__ll", F.array_max("__ll")).cast("int") - 1), "evidence")
     seen = rows.select(*keys, "__text")
     everything = seen.agg(F.array(*[F.count_if(F.col("__text") == k) for k in range(n)])).first()[0] or [0] * n
@@ -231,7 +231,7 @@ def identify(df: DataFrame, model: Model, text: Column, declared: Column | None
     language = F.when(F.col("__letters"), F.element_at(listed, best)).otherwise(F.lit(UND))
     out = rows.withColumn("language", language).withColumn("confidence", F.when(F.col("__letters"), sure).otherwise(F.lit(1.0)))
     out = out.withColumn("text_language", F.element_at(listed, F.col("__text") + 1)).withColumn("accepted", (F.col("language") != UND) & (F.col("confidence") >= least))
-    return out.select(*kept, *made)
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in kept], *made)
 
 
 def page_text(html: Column) -> Column:

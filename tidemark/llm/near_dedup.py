@@ -303,12 +303,13 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str
     """The rows of docs that are the first of their class, one for each id; rows without an id stay."""
     classes = shared.written(near_duplicates(docs, threshold, size, id_col, text_col).select(F.col(id_col).alias("__id"), "class_id").where("__id is not null"), "classes")
     later = classes.where("__id <> class_id").select("__id").distinct()
-    out = docs.join(_small(later), docs[id_col] == F.col("__id"), "left_anti")
+    names = docs.columns
+    out = docs.select(F.struct(*names).alias("__row"), F.col(id_col).cast("long").alias("__id")).join(_small(later), "__id", "left_anti")
     twice = classes.where("__id = class_id").groupBy("__id").count().where("count > 1").select("__id")
     if twice.limit(1).count():
-        once = out.join(_small(twice), out[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col])
-        out = out.join(_small(twice), out[id_col] == F.col("__id"), "left_anti").unionByName(once)
-    return out
+        once = out.join(_small(twice), "__id", "left_semi").dropDuplicates(["__id"])
+        out = out.join(_small(twice), "__id", "left_anti").unionByName(once)
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in names])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

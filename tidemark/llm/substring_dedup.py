@@ -289,25 +289,30 @@ def dedup_substrings(docs: DataFrame, size: int = 13, id_col: str = "doc_id", te
     """
     made = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_text": T.StringType(), "factors": FACTORS}
     shared.prepare(docs.sparkSession)
-    docs = docs.select(*[c for c in docs.columns if c not in made]).withColumn(id_col, F.col(id_col).cast("long"))
-    total, rows = docs.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
+    names = [c for c in docs.columns if c not in made]
+    rest = [c for c in names if c not in (id_col, text_col)]
+    types = {f.name: f.dataType for f in docs.schema.fields}
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.struct(*rest) if rest else F.lit(None).cast("struct<none:int>")).alias("rest"))
+    total, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     total = total or 0
     shares = max(1, math.ceil(total / 6 / SHARE_WINDOWS), min(64, math.ceil(total / 6 / 100_000)))
     block_bytes = min(max(shares * ROW_WINDOWS * 6, BLOCK_BYTES[0]), BLOCK_BYTES[1])
     blocks = max(1, math.ceil(total / block_bytes))
     bounds = []
     if blocks > 1:  # by bytes: a document counts once for each mean size that it has
-        weight = F.ceil(F.coalesce(F.octet_length(text_col), F.lit(0)) / max(1, total // rows)).cast("int")
-        weighed = docs.where(F.col(id_col).isNotNull()).select(F.explode(F.array_repeat(F.col(id_col), F.greatest(weight, F.lit(1)))).alias("i"))
+        weight = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / max(1, total // rows)).cast("int")
+        weighed = docs.where(F.col("id").isNotNull()).select(F.explode(F.array_repeat(F.col("id"), F.greatest(weight, F.lit(1)))).alias("i"))
         bounds = weighed.agg(F.percentile_approx("i", [k / blocks for k in range(1, blocks)], min(10 * blocks, 1_000_000))).first()[0] or []
-    dealt = docs.withColumn(_BLOCK, _deal(sorted(set(bounds)), blocks)(id_col))
+    dealt = docs.withColumn(_BLOCK, _deal(sorted(set(bounds)), blocks)("id"))
     by_block = dealt.groupBy(_BLOCK)
-    index = by_block.applyInArrow(_emit(text_col, size, shares), _PASSED)
+    index = by_block.applyInArrow(_emit("text", size, shares), _PASSED)
     answers = index.groupBy(_SHARE).applyInArrow(_answer, _PASSED)
-    told = by_block.cogroup(answers.groupBy(_BLOCK)).applyInArrow(_tell(id_col, text_col, size, shares), _PASSED)
+    told = by_block.cogroup(answers.groupBy(_BLOCK)).applyInArrow(_tell("id", "text", size, shares), _PASSED)
     places = told.groupBy(_SHARE).applyInArrow(_resolve, _PASSED)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(k, v) for k, v in made.items()]])
-    return by_block.cogroup(places.groupBy(_BLOCK)).applyInArrow(_parse(id_col, text_col, size, shares, schema), schema)
+    cut = by_block.cogroup(places.groupBy(_BLOCK)).applyInArrow(_parse("id", "text", size, shares, schema), schema)
+    back = {id_col: F.col("id"), text_col: F.col("text")}
+    return cut.select(*[back[c].cast(types[c]).alias(c) if c in back else F.col("rest").getField(c).alias(c) for c in names], *made)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

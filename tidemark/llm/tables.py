@@ -34,21 +34,41 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def scope(spark: SparkSession):
-    """What is written within is removed at the end; results that read from it must have been written outside by then."""
-    _open.append([])
+def recorded():
+    """The list of the folders that are made within."""
+    made: list[str] = []
+    _open.append(made)
     try:
-        yield
+        yield made
     finally:
-        for path in _open.pop():
-            drop(spark, path)
+        _open.remove(made)
+        if _open:
+            _open[-1].extend(made)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """What is written within is removed at the end; results that read from it must have been written outside by then."""
+    with recorded() as made:
+        try:
+            yield
+        finally:
+            for path in made:
+                drop(spark, path)
+            made.clear()
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """As written, beyond the innermost scope."""
-    inner = _open.pop() if _open else None
+    """As written, beyond the scopes and records around."""
+    around, _open[:] = list(_open), []
     try:
         return written(df, name)
     finally:
-        if inner is not None:
-            _open.append(inner)
+        _open[:] = around
+
+
+def unused(spark: SparkSession, paths: list[str], by: DataFrame) -> list[str]:
+    """Those of the folders that a table does not read from."""
+    files = [f.split(":", 1)[-1].lstrip("/") for f in by.inputFiles()]
+    plain = {p: p.split(":", 1)[-1].lstrip("/") + "/" for p in paths}
+    return [p for p in paths if not any(f.startswith(plain[p]) for f in files)]
