@@ -62,3 +62,16 @@ def test_hot_buckets_groups_and_centres(docs, monkeypatch, seed):
     rng.shuffle(rows)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs(rows)).collect()}
     assert got == plain_classes(rows)
+
+
+def test_records_within_records(spark):
+    """Of two that have recorded nothing yet, the inner one ends first; what it has goes to the outer one."""
+    edges = spark.createDataFrame([(1, 2)], "u long, v long")
+    with tables.recorded() as outer:
+        with tables.recorded() as inner:
+            pass
+        one = tables.written(edges, "one")
+        with tables.recorded() as inner:
+            two = tables.written(edges, "two")
+        assert len(inner) == 1 and len(outer) == 2
+    assert tables.unused(spark, outer, one) == outer[1:] and tables.unused(spark, outer, two) == outer[:1]

@@ -41,7 +41,7 @@ def recorded():
     try:
         yield made
     finally:
-        _open.remove(made)
+        _open.pop()
         if _open:
             _open[-1].extend(made)
 
