@@ -84,3 +84,32 @@ def test_hot_null_ids_and_long_texts(spark):
     got = mix_sources.mix(df, block_rows=3).collect()
     again = mix_sources.mix(df.repartition(5), block_rows=3).collect()
     assert sorted((r["position"], r["text"] or "") for r in got) == sorted((r["position"], r["text"] or "") for r in again) and len(got) == 59
+
+
+@pytest.mark.parametrize("weights", [None, {"s1": 4, "s3": Fraction(1, 3), "none": 1}, {"s0": 0.1, "s2": 3**0.5}])
+@pytest.mark.parametrize("bounds", [{"DRIVER_BLOCKS": 100}, {"DRIVER_SOURCES": 10}])
+def test_the_mix_is_the_same_beyond_what_the_driver_schedules(spark, monkeypatch, weights, bounds):
+    sizes = {f"s{i}": (1, 17, 40, 300, 3)[i % 5] for i in range(24)} | {None: 50}
+    df = spark.createDataFrame([(f"{s}-{i}", s) for s, n in sizes.items() for i in range(n)], "doc_id string, source string")
+    want = sorted(mix_sources.mix(df, weights, block_rows=4).collect(), key=str)
+    for name, value in bounds.items() | {("LEAF_BITS", 7), ("LISTED", 9)}:
+        monkeypatch.setattr(mix_sources, name, value)
+    if weights is None or 0.1 not in weights.values():  # whose whole numbers would not fit into decimals
+        monkeypatch.setattr(mix_sources, "exact_slots", None)
+    assert sorted(mix_sources.mix(df, weights, block_rows=4).collect(), key=str) == want
+
+
+def test_blocks_stay_as_large_as_asked_for(spark, monkeypatch):
+    """Of more than a million blocks; the driver schedules them here, for it is faster."""
+    monkeypatch.setattr(mix_sources, "DRIVER_BLOCKS", 2_000_000, raising=False)
+    df = spark.range(0, 1_000_020).selectExpr("id AS doc_id", "concat('s', id % 2) AS source")
+    got = mix_sources.mix(df, block_rows=1).selectExpr("max(slot)", "max(position)", "count(DISTINCT slot)").first()
+    assert tuple(got) == (1_000_019, 1_000_019, 1_000_020)
+
+
+def test_blocks_wait_for_their_release_among_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mix_sources, "DRIVER_SOURCES", 200_000, raising=False)
+    sizes = {f"s{i}": 1 for i in range(100_005)} | {"hot": 400}
+    df = spark.range(0, 100_405).selectExpr("id AS doc_id", "IF(id < 100005, concat('s', id), 'hot') AS source")
+    got = mix_sources.mix(df, block_rows=1).where("source = 'hot'").orderBy("source_block").collect()
+    assert [r["slot"] for r in got] == list(mix_sources.exact_slots(sizes, mix_sources.targets(sizes, None, 0.5))["hot"])
