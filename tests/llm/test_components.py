@@ -1,5 +1,6 @@
 """Components of random graphs with hot nodes, and the tables they leave."""
 
+import importlib
 import os
 import random
 
@@ -28,6 +29,36 @@ def test_hot_nodes_and_chains(spark, hot):
     assert got == plain(edges)
 
 
+@pytest.mark.parametrize("hot", [2, 100_000])
+def test_nodes_beyond_a_broadcast(spark, monkeypatch, hot):
+    monkeypatch.setattr(importlib.import_module("tidemark.llm.components"), "BROADCAST_ROWS", 10)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(15)] + [(200 + i % 7, 207 + i % 11) for i in range(30)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long"), hot).collect()}
+    assert got == plain(edges)
+
+
+def test_rounds_over_few_edges_are_few_tasks(spark, monkeypatch):
+    """With many shuffle partitions that are not coalesced: each table of a round has as many files as its rows are worth."""
+    of, files = importlib.import_module("tidemark.llm.components"), []
+    written = of._table
+    monkeypatch.setattr(of, "_table", lambda *a: files.append((out := written(*a))[0].inputFiles()) or out)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    edges = [(i, i + 1) for i in range(300)]
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = components(spark.createDataFrame(edges, "u long, v long"))
+        assert {r["node"]: r["component"] for r in found.collect()} == plain(edges)
+        assert len(files) > 8 and all(len(x) == 1 for x in files[1:])
+        few = monkeypatch.setattr(of, "TASK_ROWS", 50) or len(files)
+        assert components(spark.createDataFrame(edges, "u long, v long")).count() == 301
+        assert all(len(x) > 4 for x in files[few + 1 :][:2])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_tables_of_a_scope_go(spark):
     root = checkpoint_root(spark).removeprefix("file://")
     before = set(os.listdir(root)) if os.path.exists(root) else set()

@@ -141,6 +141,53 @@ def test_members_beyond_the_star_are_compared(docs, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in out} == plain_classes(rows)
 
 
+def test_a_pair_is_compared_in_its_first_bucket_alone(monkeypatch):
+    """Texts whose signatures share bands 3, 7 and 12: of the blocks of these buckets that of band 3 compares them."""
+    texts = pa.array([words(60), words(60) + " end", words(60, 500), words(60) + " other end"])
+    sig = np.arange(4 * near_dedup.K, dtype=np.uint32).reshape(4, near_dedup.BANDS, near_dedup.ROWS)
+    sig[:, 12:] = sig[0, 12:]
+    sig[:, [3, 7]] = sig[0, [3, 7]]
+    compared, cells = [], near_dedup.cells
+    monkeypatch.setattr(near_dedup, "cells", lambda t, size: compared.append(len(t)) or cells(t, size))
+    run = near_dedup._block_links(5, 0.8, 40)
+    found = {}
+    for band in (3, 7, 12):
+        block = {"node": [1, 2, 3, 4], "part": [0, 0, 0, 0], "comp": [1, 2, 3, 4], "i": [0] * 4, "j": [0] * 4, "band": [band + 1] * 4}
+        out = run(pa.table(block | {"sig": [x.tobytes() for x in sig], "t": texts}))
+        found[band] = sorted(map(sorted, zip(out["u"].to_pylist(), out["v"].to_pylist(), strict=True)))
+    assert found == {3: [[1, 2], [1, 4]], 7: [], 12: []} and compared == [4]
+
+
+def test_buckets_of_several_classes_lose_no_link(docs, monkeypatch):
+    """Clusters that share a third of their words meet in many buckets, in several blocks and beside a smaller centre."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(11)
+    common = words(100, 0, "c").split()
+    rows = []
+    for k in range(12):
+        own = words(25, 1000 * (k + 1), "o").split()
+        for _ in range(6):
+            w = common + own
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((rng.randrange(10**6), " ".join(w)))
+    rows += [(rows[0][0], words(90, 0, "c")), (rows[20][0], rows[40][1])]  # ids of two texts
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs(rows)).collect()}
+    monkeypatch.undo()
+    assert got == classes_of_ids(rows)
+
+
+def classes_of_ids(rows):
+    """plain_classes, where rows of one id are one document."""
+    numbered = plain_classes([(n, t) for n, (_, t) in enumerate(rows)])
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for n, (i, _) in enumerate(rows):
+        a, b = find(i), find(rows[numbered[n]][0])
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i, _ in rows}
+
+
 def test_darts_estimate_weighted_similarity():
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(300)), " ".join(rng.choice("abcdefgh") for _ in range(200)), "z", ""]

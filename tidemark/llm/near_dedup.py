@@ -14,8 +14,9 @@ nodes: each member of a band's bucket is paired with the bucket's smallest
 node, never with all. Pairs whose signatures agree too seldom fall out, the
 others are compared exactly. Where a bucket then still holds several classes,
 the members outside its first class are compared with each other and with that
-class, in blocks of bounded size, by signature and then exactly; a block gives
-at most one pair for each member: those that join classes. Classes are the connected components of the pairs that are
+class, in blocks of bounded size, by signature and then exactly, each pair in
+the first of its buckets; a block gives at most one pair for each member: those
+that join classes. Classes are the connected components of the pairs that are
 similar enough.
 """
 
@@ -161,7 +162,9 @@ def _block_links(size: int, threshold: float, least: int):
     """Of a block (or two): pairs of texts that are similar enough and join what nothing before joins, at most one for each text.
 
     Rows that may be similar to most come first, so that a text which many
-    others are copies of joins them all and the rest needs no comparison.
+    others are copies of joins them all and the rest needs no comparison. A
+    pair that meets in several buckets is compared in that of its first band
+    alone: there its two nodes are in a block, or one is the star's centre.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -169,26 +172,46 @@ def _block_links(size: int, threshold: float, least: int):
         label = table.column("comp").to_numpy().copy()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), K)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        bands = table.column("band").to_numpy()  # from 1; 0: another text of a node than the one that is in the bucket
+        band = bands[bands > 0].min() - 1
         rows, cols = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        agree = np.zeros((len(rows), len(cols)), np.int16)
-        for k in range(K):
-            agree += sig[rows, k][:, None] == sig[cols, k][None, :]
-        may = (agree >= least) & (label[rows][:, None] != label[cols][None, :])
+        left, right = np.ascontiguousarray(sig[rows].T), np.ascontiguousarray(sig[cols].T)
+        agree = np.zeros((len(rows), len(cols)), np.int8)
+        may = label[rows][:, None] != label[cols][None, :]
+        for b in range(BANDS):
+            shared_band = None
+            for k in range(b * ROWS, (b + 1) * ROWS):
+                same = left[k][:, None] == right[k][None, :]
+                agree += same
+                if b < band:
+                    shared_band = same if shared_band is None else shared_band & same
+            if b < band:
+                may &= ~shared_band
+        may &= agree >= least
         us, vs = [], []
         if may.any():
-            units, firsts, _ = cells(table.column("t"), size)
-            weight = np.diff(firsts)
+            used = np.zeros(len(node), bool)
+            used[rows[may.any(1)]] = used[cols[may.any(0)]] = True
+            at = np.flatnonzero(used)
+            units, firsts, _ = cells(table.column("t").take(pa.array(at)), size)
+            ids = np.unique(units, return_inverse=True)[1]
+            begin, weight = np.zeros((2, len(node)), np.int64)
+            begin[at], weight[at] = firsts[:-1], np.diff(firsts)
+            mark = np.zeros(len(ids) and int(ids.max()) + 1, bool)
             may &= (weight[rows] > 0)[:, None] & (weight[cols] > 0)[None, :]
             for r in np.argsort(-may.sum(1), kind="stable"):
                 own = rows[r]
-                other = cols[np.flatnonzero(may[r])]
+                other = cols[may[r]]
+                if i == j:
+                    may[:, r] = False
                 other = other[label[other] != label[own]]
                 if not len(other):
                     continue
-                mine = np.sort(units[firsts[own] : firsts[own + 1]])
-                theirs = np.concatenate([units[firsts[c] : firsts[c + 1]] for c in other])
-                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-                both = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.cumsum(weight[other]) - weight[other])
+                mine = ids[begin[own] : begin[own] + weight[own]]
+                mark[mine] = True
+                theirs = np.concatenate([ids[begin[c] : begin[c] + weight[c]] for c in other])
+                both = np.add.reduceat(mark[theirs].astype(np.int64), np.cumsum(weight[other]) - weight[other])
+                mark[mine] = False
                 for c in other[both >= threshold * (len(mine) + weight[other] - both) - 1e-9]:
                     if label[c] != label[own]:
                         us.append(int(node[own]))
@@ -199,6 +222,11 @@ def _block_links(size: int, threshold: float, least: int):
     return run
 
 
+def _band_keys():
+    """The keys of a signature's bands, in their order."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring("sig", i * 4 * ROWS + 1, 4 * ROWS), i))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df for broadcasting if it has few rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -234,8 +262,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_c
     groups = shared.written(groups, "groups")
     reps = live.join(groups.select(F.col("rep").alias("id")).distinct(), "id").select(F.col("id").alias("node"), "sig").distinct()
     reps = shared.written(reps, "nodes")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring("sig", i * 4 * ROWS + 1, 4 * ROWS), i))
-    banded = reps.select("node", F.explode(keys).alias("key"))
+    banded = reps.select("node", F.explode(_band_keys()).alias("key"))
     centers = banded.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("last > center").select("key", "center")
     members = shared.written(banded.join(centers, "key"), "bands")
     stars = members.where("node > center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
@@ -252,7 +279,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_c
     classes = shared.written(components(known), "classes")
     extra = shared.written(_rest(members, reps, classes, texts, size, threshold, least), "pairs")
     if extra.limit(1).count():
-        classes = shared.written(components(known.unionByName(extra.select("u", "v"))), "classes")
+        stars = classes.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        classes = shared.written(components(stars.unionByName(extra.select("u", "v"))), "classes")
     by_group = shared.written(groups.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_id"), "n_copies"), "classes")
     tagged = signed.withColumn("whole", F.col("id").isNotNull() & F.col("sig").isNotNull())
     found = tagged.where("whole").select("id", "k1", "k2")
@@ -296,7 +324,8 @@ def _rest(members: DataFrame, reps: DataFrame, classes: DataFrame, texts: DataFr
     start = F.when(F.col("part") < F.col("first"), F.col("first")).otherwise(F.lit(0))
     dealt = rows.withColumn("k", F.explode(F.sequence(start, F.col("first") + F.col("others") - 1)))
     dealt = dealt.select("key", F.least("part", "k").cast("int").alias("i"), F.greatest("part", "k").cast("int").alias("j"), "part", "node", "comp")
-    return dealt.join(shared.written(needed, "texts"), "node").groupBy("key", "i", "j").applyInArrow(_block_links(size, threshold, least), "u long, v long").distinct()
+    met = dealt.join(shared.written(needed, "texts"), "node").withColumn("band", F.array_position(_band_keys(), F.col("key")).cast("int"))
+    return met.groupBy("key", "i", "j").applyInArrow(_block_links(size, threshold, least), "u long, v long").distinct()
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
